@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, simhash, vafile
+from . import bpe, lattice_lm, packing, simhash, vafile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sum_of_squares_packing": packing.query,
     "op5_vector_approximation_topk": vafile.query,
     "op6_bpe_rank_array": bpe.query,
+    "op7_subword_lattice": lattice_lm.query,
     "op8_simhash_multi_index": simhash.query,
 }
 
