@@ -63,7 +63,12 @@ class Lattice:
                 self.byte[int(piece[3:-1], 16)] = i
             else:
                 self.index[piece] = i
-        self.longest = max(map(len, self.index))
+        self.trie: dict[str, list] = {}
+        for piece, i in self.index.items():
+            level = self.trie
+            for c in piece[:-1]:
+                level = level.setdefault(c, [-1, {}])[1]
+            level.setdefault(piece[-1], [-1, {}])[0] = i
         score[n] = score[np.isfinite(score)].max()
         self.allowed = np.isfinite(score)
         self.start = score - np.logaddexp.reduce(score[self.allowed])
@@ -77,53 +82,69 @@ class Lattice:
         with np.errstate(divide="ignore"):
             return np.log(c / c.sum())
 
-    def arcs(self, word: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """Per end position: (begin, log weight, piece numbers) of every arc."""
-        s = MARK + word.replace(MARK, NO_CHARACTER)
-        n, get, log, longest = len(s), self.index.get, self.log, self.longest
-        into: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
-        for i in range(n):
-            for j in range(i + 1, min(n, i + longest) + 1):
-                p = get(s[i:j])
-                if p is not None:
-                    into[j].append((i, log[p], (p,)))
-            if s[i] not in self.index:
-                spelled = tuple(self.byte[b] for b in s[i].encode("utf-8", "surrogatepass"))
-                into[i + 1].append((i, sum(log[b] for b in spelled), spelled))
-        return into
+    def _spelling(self, c: str) -> tuple[int, ...]:
+        return tuple(self.byte[b] for b in c.encode("utf-8", "surrogatepass"))
 
-    def log_probability(self, word: str) -> float:
-        """Natural log of the sum over all segmentations."""
-        return self._forward(self.arcs(word))[-1]
-
-    @staticmethod
-    def _forward(into: list[list[tuple[int, float, tuple[int, ...]]]]) -> list[float]:
-        exp, ln = math.exp, math.log
-        alpha = [0.0] * len(into)
-        for j in range(1, len(into)):
-            terms = [alpha[i] + w for i, w, _ in into[j]]
-            if len(terms) == 1:
-                alpha[j] = terms[0]
-            elif terms:
-                top = max(terms)
-                alpha[j] = top + ln(sum([exp(t - top) for t in terms]))
+    def _alpha(self, word: str, arcs: list[tuple[int, int, float, int]] | None = None) -> list[float]:
+        """Log of the summed weight of all segmentations of every prefix; ``arcs`` collects (begin, end, log weight, piece),
+        where a piece below zero is the spelling of the character at ``begin``."""
+        s = MARK + (word.replace(MARK, NO_CHARACTER) if MARK in word else word)
+        n, log, root, exp, ln = len(s), self.log, self.trie, math.exp, math.log
+        into: list[list[float]] = [[] for _ in range(n + 1)]
+        alpha = [0.0] * (n + 1)
+        for i in range(n):
+            if i:
+                terms = into[i]
+                if len(terms) == 1:
+                    a = terms[0]
+                elif terms:
+                    top = max(terms)
+                    a = top + ln(sum([exp(t - top) for t in terms]))
+                else:
+                    continue  # no segmentation ends here
+                alpha[i] = a
             else:
-                alpha[j] = -math.inf
+                a = 0.0
+            at = root.get(s[i])
+            if at is None or at[0] < 0:
+                w = sum([log[b] for b in self._spelling(s[i])])
+                into[i + 1].append(a + w)
+                if arcs is not None:
+                    arcs.append((i, i + 1, w, -1))
+            j = i + 1
+            while at is not None:
+                p, below = at
+                if p >= 0:
+                    into[j].append(a + log[p])
+                    if arcs is not None:
+                        arcs.append((i, j, log[p], p))
+                if j == n:
+                    break
+                at = below.get(s[j])
+                j += 1
+        top = max(into[n])
+        alpha[n] = top + ln(sum([exp(t - top) for t in into[n]]))
         return alpha
 
+    def log_probability(self, word: str) -> float:
+        """Natural log of the sum over all segmentations, by a forward recursion in log space."""
+        return self._alpha(word)[-1]
+
     def expected(self, word: str, count: float, totals: list[float]) -> None:
-        """Add ``count`` times the expected use of every piece in ``word``; the share of each node flows back from the end."""
-        exp, into = math.exp, self.arcs(word)
-        alpha = self._forward(into)
-        share = [0.0] * len(into)
+        """Add ``count`` times the expected use of every piece in ``word``; each node's share flows back from the end."""
+        exp, arcs = math.exp, []
+        alpha = self._alpha(word, arcs)
+        share = [0.0] * len(alpha)
         share[-1] = count
-        for j in range(len(into) - 1, 0, -1):
+        for i, j, w, p in reversed(arcs):  # begins descend, so a node's share is whole when its arcs are met
             if share[j]:
-                for i, w, pieces in into[j]:
-                    x = share[j] * exp(alpha[i] + w - alpha[j])
-                    share[i] += x
-                    for p in pieces:
-                        totals[p] += x
+                x = share[j] * exp(alpha[i] + w - alpha[j])
+                share[i] += x
+                if p >= 0:
+                    totals[p] += x
+                else:
+                    for b in self._spelling((MARK + word.replace(MARK, NO_CHARACTER))[i]):
+                        totals[b] += x
 
 
 def word_lists(docs: DataFrame) -> DataFrame:
