@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, importance, lattice_lm, packing, secret_scan, simhash, toxicity, vafile
+from . import bpe, fingerprint, importance, lattice_lm, packing, secret_scan, simhash, suffix_dedup, toxicity, vafile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sum_of_squares_packing": packing.query,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe_rank_array": bpe.query,
     "op7_subword_lattice": lattice_lm.query,
     "op8_simhash_multi_index": simhash.query,
+    "op9_suffix_array_dedup": suffix_dedup.query,
     "op10_importance_resampling": importance.query,
 }
 
