@@ -95,3 +95,10 @@ def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def keep_selected(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The selected rows of ``docs``, with their columns."""
+    ratio, cut = calibrated(docs, labels)
+    rows = with_weights(docs, ratio)
+    return rows.filter(F.col("_log_weight") + gumbel(F.col("doc_id").cast("long")) >= cut).select(*docs.columns)

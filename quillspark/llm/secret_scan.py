@@ -113,3 +113,23 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
+
+
+def mask(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+    """``docs`` with every reported span replaced by ``mark``, and ``n_chars`` to match; all rows stay."""
+    found = materialize(find(docs), "matches")
+    kept = decide(found).filter(F.size("kept") > 0).select(F.col("rid").alias("__rid"), F.col("kept").alias("__kept"))
+    rows = docs.withColumn("__rid", F.monotonically_increasing_id()).join(kept, "__rid", "left")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+    def fold(acc, s):
+        fresh = s["start"] >= acc["at"]
+        gap = F.substring(text, acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int"))
+        return F.struct(F.greatest(s["end"], acc["at"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
+
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    tail = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, F.char_length(text)))
+    masked = F.when(F.col("__kept").isNotNull(), F.aggregate("__kept", start, fold, tail)).otherwise(text)
+    rows = rows.withColumn("text", masked)
+    n = F.char_length("text").cast("long")
+    return rows.select(*[n.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])

@@ -256,3 +256,55 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = materialize(fingerprints(table(spark, sf_dir, "documents"), 3), "prints")
     out = prints.join(near_classes(prints), "fp", "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Near-duplicates of the pipeline: five-word shingles at a similarity of 0.8, in 256 bits.  A similarity of 0.8 puts the
+#: angle between two fingerprints at acos(2 * 0.8 / 1.8), about 15 % of the bits; FULL_DISTANCE adds a margin of 1.3 deviations.
+FULL_SHINGLE, FULL_WORDS, FULL_DISTANCE = 5, 4, 46
+#: Cells of that search: eight segments of 20 bits of a fingerprint of word pairs; the ball flips each segment's least certain bits.
+CELL_SHINGLE, CELL_WORDS, CELL_BITS, CELL_COUNT, CELL_FLIPS = 2, 3, 160, 8, 4
+
+
+def wide_fingerprint(text: str | None) -> tuple[bytes, bytes]:
+    """Cell words and full words as bytes, and the bits to flip in each segment."""
+    words = words_of(text)
+    pairs = more_bits(shingle_hashes(words, CELL_SHINGLE), CELL_WORDS)
+    counts = bit_counts(pairs)
+    cell = np.packbits(counts * 2 > len(pairs), bitorder="little")
+    margin = np.abs(counts * 2 - len(pairs))[:CELL_BITS].reshape(CELL_COUNT, -1)
+    flips = np.argsort(margin, axis=1, kind="stable")[:, :CELL_FLIPS].astype(np.uint8)
+    full = majority(more_bits(shingle_hashes(words, FULL_SHINGLE), FULL_WORDS))
+    return cell.tobytes() + full.tobytes(), flips.tobytes()
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``rid`` (the row's number in the scan of ``docs``), ``doc_id`` and ``root``, the near-duplicate class of every row."""
+    out = "rid long, doc_id long, id long, fp binary, flips binary"
+    schema = arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [wide_fingerprint(t.as_py()) for t in batch.column(2)]
+            ids = [xxhash.xxh64_intdigest(fp) for fp, _ in both]
+            cols = [batch.column(0), batch.column(1), pa.array(np.array(ids, dtype=np.uint64).view(np.int64)), pa.array([b[0] for b in both], type=pa.binary()), pa.array([b[1] for b in both], type=pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, schema=schema)
+
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    prints = materialize(rows.mapInArrow(run, out), "wide")
+    nodes = materialize(prints.groupBy("id").agg(F.min("fp").alias("fp"), F.min("flips").alias("flips")), "nodes")
+
+    def close(x: np.ndarray, ys: np.ndarray) -> np.ndarray:
+        return distance(x[None, CELL_WORDS:], ys[:, CELL_WORDS:]) <= FULL_DISTANCE
+
+    segments = Segments(CELL_BITS, CELL_COUNT, uncertain=CELL_FLIPS)
+    edges = materialize(link(nodes, CELL_WORDS + FULL_WORDS, segments, close), "wide-links")
+    roots = components(edges)
+    joined = prints.select("rid", "doc_id", "id").join(roots, F.col("id") == F.col("node"), "left")
+    return joined.select("rid", "doc_id", F.coalesce("root", "id").alias("root"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` (a table scan) of which each near-duplicate class has one: that of the smallest id, nulls last."""
+    classes = near_duplicates(docs)
+    first = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("x")).select(F.col("x.rid").alias("__rid"))
+    return docs.withColumn("__rid", F.monotonically_increasing_id()).join(first, "__rid", "left_semi").select(*docs.columns)

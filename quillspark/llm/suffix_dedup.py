@@ -314,3 +314,28 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents"))
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` (a table scan) with repeated strings taken out of the texts, and ``n_chars`` to match; all rows stay."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for text, runs in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+                data = text.as_buffer().to_pybytes()
+                if runs:
+                    data = np.frombuffer(data, dtype=np.uint8)[~merged(runs, len(data))].tobytes()
+                kept.append(data.decode("utf-8", "ignore"))  # a character cut in half goes as a whole
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, type=pa.string()), *batch.columns[3:]], ["rid", "text", *batch.schema.names[3:]])
+
+    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
+    found = materialize(verdicts(docs), "runs")
+    own = docs.select(F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(rest)])
+    # the verdicts number rows by task and place; this is the same number in Spark's layout
+    moved = found.select((F.shiftright("rid", 36) * (1 << 33) + F.col("rid").bitwiseAND((1 << 36) - 1)).alias("rid"), "runs")
+    both = own.join(moved, "rid", "left").select("rid", "text", "runs", *[f"c{k}" for k in range(len(rest))])
+    kinds = ", ".join(f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(rest))
+    out = both.mapInArrow(cut, f"rid long, text string, {kinds}" if rest else "rid long, text string")
+    cols = {c: F.col(f"c{k}") for k, c in enumerate(rest)} | {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+    return out.select(*[cols[c].alias(c) for c in docs.columns])
