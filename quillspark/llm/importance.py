@@ -3,8 +3,8 @@
 Two generative models of hashed word and word-pair counts are compared: one of the target text (labelled good rows, at most
 ``SAMPLE`` of them) and one of the raw text, counted over all documents.  A document's log weight is the log ratio of its
 probability under both.  Gumbel noise from a hash of the row is added, and the documents of the k greatest sums are
-selected.  k is the number of documents whose sum reaches a cut, which is set on the labelled sample so that it keeps
-all but a small share of good rows; selecting by the cut is the same as the top k, without a global sort.
+selected.  k is the number of documents whose sum reaches a cut, which is set so that it keeps all but a small share of
+the good rows of the half of the sample that the target model has not seen; selecting by the cut is the same as the top k, without a global sort.
 
 Defined cases: a null or empty text has log weight 0; a null id is passed through; repeated rows have the same weight, and
 the same noise if their ids are equal too; without good labels the two models are equal and all is kept; an empty table
@@ -78,9 +78,10 @@ def gumbel(*key: Column) -> Column:
 
 def calibrated(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, lost: float = LOST_GOOD) -> tuple[np.ndarray, float]:
     """The log ratio per bucket, and the cut that keeps all but a share of ``lost`` of the good rows of the sample."""
-    sample = materialize(labelled_sample(docs, labels, "quality", most), "quality")
-    ratio = log_ratio(bucket_counts(sample.filter("y = 1")), bucket_counts(docs))
-    scored = with_weights(sample, ratio).filter("y = 1").select((F.col("_log_weight") + gumbel(F.col("doc_id"))).alias("k"))
+    sample = materialize(labelled_sample(docs, labels, "quality", most), "quality").filter("y = 1")
+    fits = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)) == 0
+    ratio = log_ratio(bucket_counts(sample.filter(fits)), bucket_counts(docs))
+    scored = with_weights(sample.filter(~fits), ratio).select((F.col("_log_weight") + gumbel(F.col("doc_id"))).alias("k"))
     cut = scored.agg(F.percentile_approx("k", lost, 10000)).first()[0]
     return ratio, float("-inf") if cut is None else float(cut)
 
