@@ -17,7 +17,6 @@ stays null; an empty table gives no rows.
 from __future__ import annotations
 
 import json
-import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -35,49 +34,78 @@ from .common import arrow_schema, table, tokenizer_path
 VOCABULARY = "word_bpe_49k.json"
 WINDOW = 4096
 END_ID = 2
-MEMO = 400_000
+MEMO = 800_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: The word pattern of this vocabulary after lower-casing, with white space written out (a fixed value).
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
 
 
 class WordIds:
-    """Ids of whole texts by the tokenizers library, which encodes each distinct word once per worker."""
+    """Ids of whole texts by the tokenizers library, which encodes each distinct word once per worker.
+
+    White space always ends a word of this vocabulary, so a text is looked up by what stands between white space.  Words
+    not met before go to the library together, parted by blanks; a word's last id is one with an end mark.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
+            data = json.load(f)
+        self.special = [t["content"] for t in data["added_tokens"]]
+        self.ends = np.zeros(self.tok.get_vocab_size(), dtype=bool)
+        self.ends[[i for t, i in data["model"]["vocab"].items() if t.endswith("</w>")]] = True
         self.words = regex.compile(WORDS)
-        self.ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
         self.known: set[str] = set()
+        self.chunks: dict[str, bytes] = {}
         self.memo: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def plain(self, chunk: str) -> bool:
+        """Whether the libraries agree on the characters of a chunk and its lower case needs no context."""
+        if not chunk.isascii() and (fresh := set(chunk) - self.known):
+            self.known |= (old := {c for c in fresh if not newer(c) and c not in "Σİ"})
+            return len(old) == len(fresh)
+        return True
+
+    def learn(self, chunks: list[str]) -> None:
+        """Enter chunks that are not known yet."""
+        parts: dict[str, list[str]] = {}
+        for c in chunks:
+            if self.plain(c) and not any(t in c for t in self.special):
+                parts[c] = self.words.findall((c if c.isascii() else unicodedata.normalize("NFC", c)).lower())
+            else:
+                self.chunks[c] = self.whole(c)
+        memo = self.memo
+        if missing := list(dict.fromkeys(w for ws in parts.values() for w in ws if w not in memo)):
+            ids = np.array(self.tok.encode_batch_fast([" ".join(missing)], add_special_tokens=False)[0].ids, dtype="<u4")
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) == len(missing):
+                data, at = ids.tobytes(), 0
+                for w, end in zip(missing, (4 * last).tolist(), strict=True):
+                    memo[w] = data[at:end]
+                    at = end
+            else:  # a piece with an end mark inside of a word
+                memo |= {w: self.whole(w) for w in missing}
+        for c, ws in parts.items():
+            self.chunks[c] = b"".join([memo[w] for w in ws])
+
     def ids(self, text: str) -> bytes:
         """All ids as little-endian unsigned 32-bit numbers."""
-        if any(t in text for t in self.special):
+        if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:  # white space for Python only
             return self.whole(text)
-        if text.isascii():
-            words = self.ascii.findall(text.lower())
-        else:
-            if fresh := set(text) - self.known:
-                self.known |= (old := {c for c in fresh if not newer(c) and c not in "Σİ"})
-                if len(old) < len(fresh):
-                    return self.whole(text)
-            words = self.words.findall(unicodedata.normalize("NFC", text).lower())
-        memo = self.memo
-        if missing := [w for w in dict.fromkeys(words) if w not in memo]:
-            if len(memo) + len(missing) > MEMO:
-                memo.clear()
-                missing = list(dict.fromkeys(words))
-            for w, e in zip(missing, self.tok.encode_batch(missing, add_special_tokens=False), strict=True):
-                memo[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join([memo[w] for w in words])
+        chunks, known = text.split(), self.chunks
+        try:
+            return b"".join(map(known.__getitem__, chunks))
+        except KeyError:
+            if len(known) > MEMO or len(self.memo) > MEMO:
+                known.clear()
+                self.memo.clear()
+            self.learn([c for c in dict.fromkeys(chunks) if c not in known])
+            return b"".join(map(known.__getitem__, chunks))
 
 
 class SumOfSquares:
