@@ -17,6 +17,7 @@ weights are those of the vocabulary; an empty table gives no rows.
 
 from __future__ import annotations
 
+import copy
 import math
 import zlib
 from collections import defaultdict
@@ -147,6 +148,18 @@ class Lattice:
                         totals[b] += x
 
 
+_READ: dict[str, Lattice] = {}
+
+
+def read_lattice(path: str, weights: np.ndarray | None = None) -> Lattice:
+    """A lattice whose vocabulary is read once per worker."""
+    if path not in _READ:
+        _READ[path] = Lattice(path)
+    out = copy.copy(_READ[path])
+    out.log = (out.start if weights is None else weights).tolist()
+    return out
+
+
 def word_lists(docs: DataFrame) -> DataFrame:
     """Rows of ``LISTS``: documents as numbers of their chunk's words, and the words of every chunk with training counts."""
     schema = arrow_schema(LISTS)
@@ -200,7 +213,7 @@ def expected_counts(words: DataFrame, path: str) -> np.ndarray:
     """Expected use of every piece over the training words ``word``, ``c``; only as many sums as pieces reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(path)
+        lattice = read_lattice(path)
         totals = [0.0] * lattice.size
         for batch in batches:
             for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -209,7 +222,7 @@ def expected_counts(words: DataFrame, path: str) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used, type=pa.int32()), pa.array([totals[i] for i in used], type=pa.float64())], ["piece", "uses"])
 
     sums = words.mapInArrow(run, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
-    out = np.zeros(Lattice(path).size)
+    out = np.zeros(read_lattice(path).size)
     for r in sums:
         out[r.piece] = r.uses
     return out
@@ -227,11 +240,11 @@ def score(docs: DataFrame, path: str) -> DataFrame:
     distinct = known.filter("c > 0").count() + (n_docs > 0)
     counts = expected_counts(known.filter("c > 0"), path)
     counts[-1] = n_docs
-    log = Lattice(path).estimate(counts)
+    log = read_lattice(path).estimate(counts)
     sent = spark.sparkContext.broadcast(log)  # one number per piece of the vocabulary
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(path, sent.value)
+        lattice = read_lattice(path, sent.value)
         for batch in batches:
             lp = [lattice.log_probability(w) for w in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lp, type=pa.float64())], ["word", "c", "lp"])
