@@ -4,6 +4,8 @@ Model: pieces of an existing subword vocabulary are drawn independently until an
 is the sum over all its segmentations, computed by a forward recursion in log space.  Piece weights start from the scores of
 the vocabulary file and are re-estimated once from expected counts over all distinct training words, weighted by how
 often they occur; every piece keeps a small share.  Characters that are no piece are spelled in byte pieces.
+Every training word is one more arc over its whole length, weighted by how often it occurs; the pieces share what Good-Turing
+leaves for words that training has not seen.  So the sum over segmentations stays a probability, also for unknown words.
 
 Data flow: a task reads its split in chunks.  A chunk has its own list of distinct words, and a document is kept as numbers
 of that list with counts.  Only the lists are joined with the corpus-wide counts; what they find goes back to the chunk,
@@ -11,8 +13,8 @@ packed, and meets the documents there.  A frequent word therefore gives one row
 table of all words is ever broadcast; only piece weights are, as many as the vocabulary has.
 
 Defined cases: a null text is an empty text and has just the end token; a null id counts as the empty string for the fold
-and stays null; repeated rows count as often as they come; with no training documents all counts are zero and the piece
-weights are those of the vocabulary; an empty table gives no rows.
+and stays null; repeated rows count as often as they come; with no training documents all counts are zero, there are no
+word arcs and the piece weights are those of the vocabulary; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -148,6 +150,18 @@ class Lattice:
                         totals[b] += x
 
 
+def unseen_share(once: int, tokens: int) -> float:
+    """Share of the pieces: what Good-Turing expects of unseen tokens, given how many tokens occur once; all if there are none."""
+    return (once + 1) / (tokens + 1)
+
+
+def with_word_arc(lp: np.ndarray, c: np.ndarray, tokens: int, share: float) -> np.ndarray:
+    """Natural log of a token's probability when its whole-word arc, met ``c`` times in training, joins the pieces' ``lp``."""
+    with np.errstate(divide="ignore"):
+        whole = np.log(c) - math.log(max(1, tokens)) + np.log(1 - share)
+    return np.logaddexp(lp + math.log(share), whole)
+
+
 _READ: dict[str, Lattice] = {}
 
 
@@ -237,7 +251,9 @@ def score(docs: DataFrame, path: str) -> DataFrame:
     known = materialize(words.groupBy("word").agg(F.sum("train").alias("c")), "words")
     n_docs, n_words = documents.filter(~F.col("held_out")).agg(F.count("*"), F.coalesce(F.sum("n_words"), F.lit(0))).first()
     n_train = n_docs + n_words
-    distinct = known.filter("c > 0").count() + (n_docs > 0)
+    n_distinct, n_once = known.filter("c > 0").agg(F.count("*"), F.count(F.when(F.col("c") == 1, 1))).first()
+    distinct = n_distinct + (n_docs > 0)
+    share = unseen_share(n_once + (n_docs == 1), n_train)
     counts = expected_counts(known.filter("c > 0"), path)
     counts[-1] = n_docs
     log = read_lattice(path).estimate(counts)
@@ -246,7 +262,8 @@ def score(docs: DataFrame, path: str) -> DataFrame:
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = read_lattice(path, sent.value)
         for batch in batches:
-            lp = [lattice.log_probability(w) for w in batch.column(0).to_pylist()]
+            pieces = np.array([lattice.log_probability(w) for w in batch.column(0).to_pylist()])
+            lp = with_word_arc(pieces, batch.column(1).to_numpy().astype(np.float64), n_train, share)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lp, type=pa.float64())], ["word", "c", "lp"])
 
     weighed = known.mapInArrow(weigh, "word string, c long, lp double")
@@ -284,7 +301,8 @@ def score(docs: DataFrame, path: str) -> DataFrame:
     met = both.repartition(parts, "chunk").sortWithinPartitions("chunk", "n_words")  # replies have -1 words and come first
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     result = arrow_schema(out)
-    end_count, below, end_log = n_docs, math.log10(n_train + distinct + 1), float(log[-1]) / LOG10
+    end_count, below = n_docs, math.log10(n_train + distinct + 1)
+    end_log = float(with_word_arc(log[-1], np.float64(n_docs), n_train, share)) / LOG10
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = None

@@ -191,11 +191,31 @@ def test_language_model(docs, empty):
     train = [w for i, w in words if zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2]
     c = collections.Counter(x for w in train for x in w)
     n, v = sum(c.values()) + len(train), len(c) + 1
+    lattice = lattice_lm.Lattice(path)
+    uses = [0.0] * lattice.size
+    for x, k in c.items():
+        lattice.expected(x, k, uses)
+    uses[-1] = len(train)
+    lattice = lattice_lm.Lattice(path, lattice.estimate(np.array(uses)))
+    share = (sum(k == 1 for k in c.values()) + 1) / (n + 1)
+    chance = lambda lp, k: math.log10(share * math.exp(lp) + (1 - share) * k / n)
     for i, w in words:
         r = out[i, len(w) + 1]
         base = sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w) + math.log10((len(train) + 1) / (n + v + 1))
-        assert math.isclose(r.base_score, base, rel_tol=1e-9) and r.train_tokens == n and r.score < 0
+        assert math.isclose(r.base_score, base, rel_tol=1e-9) and r.train_tokens == n
+        if max(map(len, w), default=0) < 200:  # longer words are too unlikely for plain floats
+            want = sum(chance(lattice.log_probability(x), c[x]) for x in w) + chance(lattice.log[-1], len(train))
+            assert math.isclose(r.score, want, rel_tol=1e-5)
+    held = [r for r in out.values() if r.held_out and r.n_known == r.n_tokens]
+    assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
     assert lattice_lm.score(empty, path).count() == 0
+    none = lattice_lm.score(df.filter("doc_id = 13"), path).first()  # held out, so that there is no training row
+    assert none.held_out and none.train_tokens == none.n_known == 0 and math.isfinite(none.score)
+
+
+def test_pieces_have_it_all_without_training():
+    lp = np.array([-3.0, -700.0])
+    assert lattice_lm.unseen_share(0, 0) == 1 and np.allclose(lattice_lm.with_word_arc(lp, np.zeros(2), 0, 1.0), lp)
 
 
 def test_lattice_sums_all_segmentations():
