@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import importance, packing, secret_scan, simhash, suffix_dedup
+from quillspark.llm import importance, near_copies, packing, secret_scan, suffix_dedup
 from quillspark.llm.common import materialize, table, tokenizer_path
 
 
@@ -19,7 +19,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return simhash.keep_one(docs)
+    return near_copies.keep_one(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import pytest
 
-from quillspark.llm import bpe, components, fingerprint, importance, lattice_lm, packing, secret_scan, simhash, suffix_dedup, toxicity, vafile
+from quillspark.llm import bpe, components, fingerprint, importance, lattice_lm, near_copies, packing, secret_scan, simhash, suffix_dedup, toxicity, vafile
 from quillspark.llm.common import tokenizer_path
 from quillspark.llm.features import auc
 from quillspark.llm.gsaca import suffix_array
@@ -337,3 +337,45 @@ def test_pipeline(spark, tmp_path):
         out.write.parquet(f"{tmp_path}/stage{k}")
         docs = spark.read.parquet(f"{tmp_path}/stage{k}")
     assert docs.count() > 20 and corpus_pipeline.run(spark, str(tmp_path)).count() >= docs.count()
+
+
+def edited(words, share, rng):
+    """A copy with words replaced one by one until the similarity is at most ``share``."""
+    own, out = set(zip(*(words[k:] for k in range(5)), strict=False)), list(words)
+    while True:
+        other = set(zip(*(out[k:] for k in range(5)), strict=False))
+        if len(own & other) <= share * len(own | other):
+            return out
+        out[rng.randrange(len(out))] = f"w{rng.randrange(10**9)}"
+
+
+def test_near_copies_against_brute_force(spark, monkeypatch):
+    rng = random.Random(10)
+    base = [[f"{rng.choice(WORDS)}{rng.randrange(40)}" for _ in range(rng.randrange(60, 200))] for _ in range(40)]
+    line = [f"line{i}" for i in range(60)]
+    texts = [None, "", " \n", "one two", "ONE  two", "one"]
+    texts += [" ".join(b) for b in base] + [" ".join(base[0])] * 3
+    texts += [" ".join(edited(b, s, rng)) for b in base for s in (0.6, 0.7, 0.75, 0.79, 0.805, 0.85, 0.9)]
+    texts += [" ".join([*line, *rng.choices(WORDS, k=k)]) for k in (3, 5, 12, 14, 15, 16, 20, 60)]
+    rng.shuffle(texts)
+    rows = [(None if i == 7 else i, t, i, i) for i, t in enumerate(texts)]
+    sets = []
+    for t in texts:
+        w = simhash.words_of(t)
+        sets.append(set(zip(*(w[k:] for k in range(5)), strict=False)) if len(w) > 5 else {tuple(w)})
+    root = list(range(len(texts)))
+    below = 0
+    for a in range(len(texts)):
+        for b in range(a):
+            both, every = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+            below += 0.6 <= both / every < 0.8
+            if 5 * both >= 4 * every and root[a] != root[b]:
+                old, new = root[a], root[b]
+                root = [new if r == old else r for r in root]
+    want = {min((i for i in range(len(texts)) if root[i] == r), key=lambda i: (rows[i][0] is None, i)) for r in set(root)}
+    assert below > 100 and 40 < len(want) < len(texts) - 60
+    df = spark.createDataFrame(rows, "doc_id long, text string, rid long, id long").repartition(3)
+    for block in (512, 2):
+        monkeypatch.setattr(near_copies, "BLOCK", block)
+        assert {r.rid for r in near_copies.keep_one(df).collect()} == want
+    assert near_copies.keep_one(df.limit(0)).count() == 0
