@@ -53,6 +53,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def numbered(df: DataFrame, tag: str, number: str = "rid") -> DataFrame:
+    """``df`` as a table of its own with the stored column ``number``, different in every row.
+
+    Numbers of a scan hold within one job only: where files are split depends on the cores that are there.
+    """
+    return materialize(df.select(F.monotonically_increasing_id().alias(number), *df.columns), tag)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables of :func:`materialize` that no later step reads."""
     for df in tables:

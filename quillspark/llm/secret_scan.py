@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, numbered, table
 
 #: The base patterns, their kinds in order, and the least length of what they hold.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -47,9 +47,11 @@ def match_struct(kind: int, least: int):
 
 
 def find(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """``rid``, ``doc_id``, ``source`` and ``m``, the matches of every kind as (kind, pos, gap, size, value); one scan of the texts."""
+    """``rid`` (``__rid`` of ``docs`` if it has numbers), ``doc_id``, ``source`` and ``m``, the matches of every kind as (kind, pos,
+    gap, size, value); one scan of the texts."""
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit("")
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(source, F.lit("")).alias("source"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *(keep or []))
+    rid = F.col("__rid") if "__rid" in docs.columns else F.monotonically_increasing_id()
+    rows = docs.select(rid.alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(source, F.lit("")).alias("source"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *(keep or []))
     for k, (pattern, _, _) in enumerate(PATTERNS):
         rows = rows.withColumn(f"m{k}", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
     lists = []
@@ -117,9 +119,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mask(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every reported span replaced by ``mark``, and ``n_chars`` to match; all rows stay."""
-    found = materialize(find(docs), "matches")
+    numbers = numbered(docs, "numbered", "__rid")
+    found = materialize(find(numbers), "matches")
     kept = decide(found).filter(F.size("kept") > 0).select(F.col("rid").alias("__rid"), F.col("kept").alias("__kept"))
-    rows = docs.withColumn("__rid", F.monotonically_increasing_id()).join(kept, "__rid", "left")
+    rows = numbers.join(kept, "__rid", "left")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
 
     def fold(acc, s):

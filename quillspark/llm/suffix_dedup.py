@@ -7,7 +7,8 @@ are counted together.  Where pieces of one hash differ, the distinct ones are co
 grouping construction of :mod:`gsaca`; neighbours in that order that agree in ``LENGTH`` bytes are repeats.  The
 verdict for each distinct piece goes back to all its places, and the places of a document are merged.
 
-Texts are read three times and shuffled once, for the last step.  Hashes that need attention are marked in a bitmap of fixed
+Rows are numbered once, in a table that also holds the texts; every later step reads the stored number.  Texts are read
+three times from there and shuffled once, for the last step.  Hashes that need attention are marked in a bitmap of fixed
 size; a false mark costs time, never a result.  A piece that many documents share is reduced to one row per task before
 it is shuffled; pieces are compared by 128-bit digests of their bytes.
 
@@ -23,11 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, materialize, table
+from .common import arrow_schema, materialize, numbered, table
 from .gsaca import suffix_array
 
 LENGTH = 200
@@ -112,18 +112,15 @@ def intervals(flags: np.ndarray) -> np.ndarray:
     return np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1], axis=1).ravel()
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``text``; the scan whose row order numbers the documents."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def plain_text() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, object, bytes]]:
-    """Number, id and bytes of every document of a task."""
-    n = TaskContext.get().partitionId() << 36
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
+    """Number and bytes of every document of a task."""
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            yield n, doc_id, text.as_buffer().to_pybytes()
-            n += 1
+        for rid, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            yield rid, text.as_buffer().to_pybytes()
 
 
 def _bitmap(hashes: DataFrame) -> np.ndarray:
@@ -147,10 +144,13 @@ def _digest(data: bytes) -> tuple[int, int]:
     return a - (a >> 63 << 64), b - (b >> 63 << 64)
 
 
-def verdicts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``rid`` and ``runs``: first and last removed byte of runs in a document, little-endian 32-bit pairs."""
-    spark = docs.sparkSession
-    scan = numbered(docs)
+def verdicts(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """``rid`` and ``runs``: first and last removed byte of runs in a document, little-endian 32-bit pairs.
+
+    rows: a table with ``rid`` and ``text``, as :func:`numbered` gives it.
+    """
+    spark = rows.sparkSession
+    scan = rows.select("rid", "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +162,7 @@ def verdicts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
             return pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], ["h", "n"])
 
         size = 0
-        for _, _, data in _rows(batches):
+        for _, data in _rows(batches):
             h, _, _, twice = pieces(data, length, gram)
             held += [h, h[twice]]
             size += len(h)
@@ -177,7 +177,7 @@ def verdicts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols: list[list] = [[] for _ in member_schema]
-        for rid, _, data in _rows(batches):
+        for rid, data in _rows(batches):
             h, a, b, twice = pieces(data, length, gram)
             for k in np.flatnonzero(_marked(repeated.value, h)).tolist():
                 d1, d2 = _digest(data[a[k] : b[k] + length])
@@ -204,7 +204,7 @@ def verdicts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, text_schema, strict=True)], schema=text_schema)
 
-        for _, _, data in _rows(batches):
+        for _, data in _rows(batches):
             h, a, b, _ = pieces(data, length, gram)
             for k in np.flatnonzero(_marked(differing.value, h) & _marked(repeated.value, h)).tolist():
                 piece = data[a[k] : b[k] + length]
@@ -280,16 +280,9 @@ def merged(runs: list[bytes], n: int) -> np.ndarray:
 
 
 def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``doc_id``, ``data`` (bytes), ``runs`` of every document."""
-
-    def with_number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = TaskContext.get().partitionId() << 36
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arange(n, n + batch.num_rows))], ["doc_id", "text", "rid"])
-            n += batch.num_rows
-
-    found = materialize(verdicts(docs, length, gram), "runs")
-    own = numbered(docs).mapInArrow(with_number, "doc_id long, text string, rid long")
+    """``rid``, ``doc_id``, ``text``, ``runs`` of every document."""
+    own = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain_text()), "numbered")
+    found = materialize(verdicts(own, length, gram), "runs")
     return own.join(found, "rid", "left").select("rid", "doc_id", "text", "runs")
 
 
@@ -317,7 +310,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` (a table scan) with repeated strings taken out of the texts, and ``n_chars`` to match; all rows stay."""
+    """``docs`` with repeated strings taken out of the texts, and ``n_chars`` to match; all rows stay."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,11 +323,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, type=pa.string()), *batch.columns[3:]], ["rid", "text", *batch.schema.names[3:]])
 
     rest = [c for c in docs.columns if c not in ("text", "n_chars")]
-    found = materialize(verdicts(docs), "runs")
-    own = docs.select(F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(rest)])
-    # the verdicts number rows by task and place; this is the same number in Spark's layout
-    moved = found.select((F.shiftright("rid", 36) * (1 << 33) + F.col("rid").bitwiseAND((1 << 36) - 1)).alias("rid"), "runs")
-    both = own.join(moved, "rid", "left").select("rid", "text", "runs", *[f"c{k}" for k in range(len(rest))])
+    own = numbered(docs.select(plain_text(), *[F.col(c).alias(f"c{k}") for k, c in enumerate(rest)]), "numbered")
+    found = materialize(verdicts(own), "runs")
+    both = own.join(found, "rid", "left").select("rid", "text", "runs", *[f"c{k}" for k in range(len(rest))])
     kinds = ", ".join(f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(rest))
     out = both.mapInArrow(cut, f"rid long, text string, {kinds}" if rest else "rid long, text string")
     cols = {c: F.col(f"c{k}") for k, c in enumerate(rest)} | {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}

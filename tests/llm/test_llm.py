@@ -379,3 +379,34 @@ def test_near_copies_against_brute_force(spark, monkeypatch):
         monkeypatch.setattr(near_copies, "BLOCK", block)
         assert {r.rid for r in near_copies.keep_one(df).collect()} == want
     assert near_copies.keep_one(df.limit(0)).count() == 0
+
+
+def test_rows_are_named_alike_when_splits_change(spark, tmp_path):
+    shared = " ".join(f"s{k}" for k in range(90))
+    rows = [(i, f"{i} {shared}" if i % 5 == 0 else f"{i} own password: {'k%011d' % i} " + " ".join(f"{i}w{k}" for k in range(i % 7)), "a/b") for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6).write.parquet(f"{tmp_path}/d")
+    names = ("spark.sql.files.minPartitionNum", "spark.sql.files.openCostInBytes")
+
+    def split(n):
+        for name, v in zip(names, (n, 1 << 27 if n > 1 else 1), strict=True):
+            spark.conf.set(name, v)
+
+    try:
+        for stage in (suffix_dedup.without_repeats, suffix_dedup.dedup, secret_scan.mask):
+            split(1)
+            docs = spark.read.parquet(f"{tmp_path}/d")
+            assert docs.rdd.getNumPartitions() == 1
+            late = stage(docs)  # the last step is yet to run
+            split(6)
+            assert spark.read.parquet(f"{tmp_path}/d").rdd.getNumPartitions() == 6
+            out = {r.doc_id: r for r in late.collect()}
+            for i, text, _ in rows:
+                if stage is suffix_dedup.dedup:
+                    assert (out[i].n_removed > 200) == (i % 5 == 0)
+                elif stage is suffix_dedup.without_repeats:
+                    assert (out[i].text == text) == (i % 5 != 0)
+                else:
+                    assert out[i].text == (text if i % 5 == 0 else text.replace(f"password: {'k%011d' % i}", "[SECRET]"))
+    finally:
+        for name in names:
+            spark.conf.unset(name)
