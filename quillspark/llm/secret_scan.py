@@ -24,8 +24,12 @@ from .common import materialize, numbered, table
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"
-#: The proposed kind: a run of 20 or more token characters with a digit, an upper-case and a lower-case letter.
-TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[a-z+/_=-]*[A-Z0-9])[A-Za-z0-9+/_=-]{20,}"
+#: The proposed kinds: a run of 20 or more token characters with a digit, an upper-case and a lower-case letter; the same of
+#: upper-case hexadecimal digits with a letter, which HEX leaves out.
+TOKEN = (
+    r"(?<![A-Za-z0-9+/_=-])(?:(?=[A-Za-z+/_=-]*[0-9])(?=[a-z0-9+/_=-]*[A-Z])(?=[A-Z0-9+/_=-]*[a-z])[A-Za-z0-9+/_=-]{20,}"
+    r"|(?=[A-F]*[0-9])(?=[0-9]*[A-F])[0-9A-F]{20,}(?![A-Za-z0-9+/_=-]))"
+)
 KINDS = ("assign", "access", "hex", "live")
 PATTERNS = ((ASSIGN, 2, 12), (ACCESS, 0, 18), (HEX, 0, 16), (TOKEN, 0, 20))
 MAX_OWNERS = 2

@@ -410,3 +410,16 @@ def test_rows_are_named_alike_when_splits_change(spark, tmp_path):
     finally:
         for name in names:
             spark.conf.unset(name)
+
+
+def test_long_words_are_no_secrets(spark):
+    rare = ["Einungtzheitgeungverlich", "THSTTIONTIONTHINGESAT", "oneaoutionheertionen2026", "EINUNGTZHEITGEUNG20261126"]
+    mixed = ["Einungtzheitgeungverlich7", "7einungtzheitgeungverlicH", "EINUNGTZHEITGEUNGVERLI7h", "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"]
+    rows = [(i, f"see {w} here", "own/a") for i, w in enumerate(rare + mixed)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = {r.doc_id: r for r in secret_scan.scan(df).collect()}
+    texts = {r.doc_id: r.text for r in secret_scan.mask(df).collect()}
+    for i, text, _ in rows:
+        live = i >= len(rare)
+        assert out[i].n_live == live and out[i].spans == (f"live:4:{len(text) - 5}" if live else "")
+        assert texts[i] == ("see [SECRET] here" if live else text)
