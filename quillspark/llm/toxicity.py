@@ -1,22 +1,27 @@
 """Toxicity scores from weak supervision.
 
-Many voters look at a document: one per lexicon word, one per pattern, and one per word or beginning of a word that
-labelled training rows show to be telling.  A generative label model with a vote rate per class and voter is fitted by expectation maximisation over the
-votes; the starting rates come from the labels.  Voters that stay correlated within the classes are not independent
-evidence: each one's log ratio is divided by the sum of its positive residual correlations.  The posterior labels train
-a logistic regression on votes and hashed words, which scores every document.
-
-Fitting uses at most ``SAMPLE`` labelled rows (a parameter), none of them held out; scoring covers all rows.
-
-Defined cases: a null or empty text has no votes and no words and gets the score of the intercept; a null id counts as
-the empty string for the fold and is passed through; repeated rows are scored alike; without labels every score is 0.5
-of an unfitted model's prior, and an empty table gives no rows.
+Many voters look at a document: one per lexicon word, one per pattern, one per word or beginning of a word that labelled
+training rows show to be telling, and one that fires where no other does.  A voter that does not fire abstains, which says
+nothing.  A generative label model with a firing rate per class and voter is fitted by expectation maximisation over the
+votes of the training rows: the class of a row is latent, its given label has no vote.  Labels of training rows serve as a weak
+prior, worth ``PRIOR_ROWS`` rows of each class, so that the latent class stays the labelled notion, and for the share of
+the classes.  Voters that stay correlated within the classes are not independent evidence: each one's log ratio is divided by the
+sum of its positive residual correlations.  The posteriors train a logistic regression on votes and hashed words, which
+scores every document; its intercept is moved so that the cut of 0.3 is the best one on the labels of the training rows.
+
+Fitting uses at most ``SAMPLE`` labelled rows (a parameter), none of them held out.  Executors turn their texts into votes and
+numbers of words; no text reaches the driver.  Scoring covers all rows.
+
+Defined cases: a null or empty text has no words and gets the score of the voter that fires alone; a null id counts as the empty
+string for the fold and is passed through; repeated rows are scored alike; without labels every row gets one score below the cut;
+an empty table gives no rows; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, fold_bucket, table
+from .common import arrow_schema, fold_bucket, materialize, release, table
 from .features import PARTS, labelled_sample
 
 FOLDS, HELD_OUT = 4, 2
@@ -33,8 +38,7 @@ MINED = 120
 PREFIXES = (4, 6, 7)
 BUCKETS = 1 << 15
 THRESHOLD = 0.3
-#: Share of rows labelled toxic among clean and among toxic rows, as the label model takes it.
-LABEL_RATES = (0.02, 0.9)
+PRIOR_ROWS = 100.0
 #: Abusive words by language.
 LEXICON = """
 idiot idiots moron morons stupid loser losers scum clown trash worthless pathetic disgusting dumb fool filthy garbage vermin
@@ -48,13 +52,13 @@ PATTERNS = (r"\byou(?:'re| are)? (?:a|an|such|all)\b", r"\bgo (?:to hell|away|di
 
 
 class Voters:
-    """Lexicon, mined and pattern voters; a vote is 1 or 0."""
+    """Lexicon, mined and pattern voters, and last the one that fires alone; a vote is 1, to abstain is 0."""
 
     def __init__(self, words: list[str]):
         self.words = list(dict.fromkeys(words))
         self.at = {w: i for i, w in enumerate(self.words)}
         self.patterns = [re.compile(p) for p in PATTERNS]
-        self.count = len(self.words) + len(self.patterns)
+        self.count = len(self.words) + len(self.patterns) + 1
 
     def vote(self, text: str, parts: set[str]) -> np.ndarray:
         out = np.zeros(self.count, dtype=np.int8)
@@ -63,32 +67,26 @@ class Voters:
         for k, p in enumerate(self.patterns):
             if p.search(text):
                 out[len(self.words) + k] = 1
+        out[-1] = not out.any()
         return out
 
 
-def label_evidence(labels: np.ndarray) -> np.ndarray:
-    """Log likelihood ratio of the given labels as votes."""
-    (a, b), y = LABEL_RATES, np.asarray(labels, dtype=np.float64)
-    return y * np.log(b / a) + (1 - y) * np.log((1 - b) / (1 - a))
-
-
 class LabelModel:
-    """Class prior, vote rates, and weights that discount correlated voters.
+    """Class prior, firing rates of the voters in both classes, and weights that discount correlated voters.
 
-    The given label of a training row is one more vote, with the fixed rates ``LABEL_RATES``, so that the latent class stays
-    the labelled notion.
-    """
+    labels: of the same rows, for the prior of the rates and the share of the classes only."""
 
-    def __init__(self, votes: np.ndarray, labels: np.ndarray, rounds: int = 25):
+    def __init__(self, votes: np.ndarray, labels: np.ndarray, rounds: int = 30, strength: float = PRIOR_ROWS):
         v, y = votes.astype(np.float64), labels.astype(np.float64)
-        said = label_evidence(y)
-        p = np.clip(y, 0.05, 0.95)
+        start = np.stack([((1 - y) @ v + 0.5) / ((1 - y).sum() + 5), (y @ v + 0.5) / (y.sum() + 5)])
+        self.prior = float(np.clip(y.mean(), 1e-3, 0.5))
+        self.rate, self.weight = start, np.ones(v.shape[1])
         for step in range(rounds):
-            self.prior = float(np.clip(p.mean(), 1e-3, 1 - 1e-3))
-            self.rate = np.stack([((1 - p) @ v + 0.5) / ((1 - p).sum() + 10), (p @ v + 0.5) / (p.sum() + 10)])
+            p = self.posterior(v)
+            n = np.array([[(1 - p).sum()], [p.sum()]])
+            self.rate = (np.stack([(1 - p) @ v, p @ v]) + strength * start) / (n + strength)
             if step % 5 == 0:
                 self.weight = 1 / np.maximum(1, self.residual(v, p))
-            p = self.posterior(v, said)
 
     def residual(self, v: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Per voter, one plus the sum of its clearly positive correlations within the classes."""
@@ -99,9 +97,9 @@ class LabelModel:
         np.fill_diagonal(c, 0)
         return 1 + np.where(c > 0.1, c, 0).sum(axis=1)
 
-    def posterior(self, votes: np.ndarray, said: np.ndarray | float = 0.0) -> np.ndarray:
-        yes, no = np.log(self.rate[1] / self.rate[0]), np.log((1 - self.rate[1]) / (1 - self.rate[0]))
-        z = np.log(self.prior / (1 - self.prior)) + votes @ (self.weight * (yes - no)) + (self.weight * no).sum() + said
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        """Chance of the toxic class given what fires."""
+        z = np.log(self.prior / (1 - self.prior)) + votes @ (self.weight * np.log(self.rate[1] / self.rate[0]))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -111,20 +109,22 @@ def tokens_of(text: str) -> set[str]:
     return words.union(*[{f"^{w[:k]}" for w in words if len(w) > k} for k in PREFIXES])
 
 
-def mine(texts: list[str], y: np.ndarray, most: int = MINED) -> list[str]:
-    """Tokens found far more often in toxic training rows, best first; counted by hash, so memory stays fixed."""
-    found = np.zeros((2, 1 << 22), dtype=np.int32)
-    place = lambda w: zlib.crc32(w.encode("utf-8", "surrogatepass")) & 0x3FFFFF
-    for text, label in zip(texts, y.tolist(), strict=True):
-        found[label, np.unique(np.array([place(w) for w in tokens_of(text)], dtype=np.int64))] += 1
-    n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    ratio = np.log((found[1] + 0.5) / (n1 + 1)) - np.log((found[0] + 0.5) / (n0 + 1))
-    telling = (found[1] >= max(5, n1 // 100)) & (ratio > 1.5)
-    scored: dict[str, float] = {}
-    for text, label in zip(texts, y.tolist(), strict=True):
-        if label:
-            scored |= {w: -ratio[h] * np.sqrt(found[1, h]) for w in tokens_of(text) if telling[h := place(w)]}
-    return [w for _, w in sorted((v, w) for w, v in scored.items())[:most]]
+def mine(sample: DataFrame, most: int = MINED) -> list[str]:
+    """At most ``most`` tokens that are found far more often in toxic rows of ``sample`` (``text``, ``y``), best first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: tuple[Counter, Counter] = (Counter(), Counter())
+            for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                counts[label == 1].update(tokens_of(text.as_py() or ""))
+            names = list(counts[0].keys() | counts[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(names, type=pa.string()), *[pa.array([c[w] for w in names], type=pa.int64()) for c in counts]], ["w", "n0", "n1"])
+
+    total0, total1 = (F.greatest(F.lit(1), F.lit(int(n))) for n in sample.agg(F.count(F.when(F.col("y") != 1, 1)), F.count(F.when(F.col("y") == 1, 1))).first())
+    words = sample.select("text", "y").mapInArrow(run, "w string, n0 long, n1 long").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    ratio = F.log((F.col("n1") + 0.5) / (total1 + 1)) - F.log((F.col("n0") + 0.5) / (total0 + 1))
+    telling = words.withColumn("ratio", ratio).filter((F.col("n1") >= F.greatest(F.lit(5), F.floor(total1 / 100))) & (F.col("ratio") > 1.5))
+    return [r.w for r in telling.orderBy(F.desc(F.col("ratio") * F.sqrt("n1")), "w").limit(most).collect()]
 
 
 def word_features(tokens: set[str]) -> np.ndarray:
@@ -158,26 +158,29 @@ class Linear:
             self.bias, self.v, self.w = self.bias + speed[0], self.v + speed[1], self.w + speed[2]
         return self
 
+    def calibrate(self, votes: np.ndarray, words: list[np.ndarray], labels: np.ndarray) -> Linear:
+        """Move the intercept so that ``THRESHOLD`` lies midway between the rows around the cut of the best F1."""
+        z = np.array([self.logit(v, w) for v, w in zip(votes, words, strict=True)])
+        cuts, first = np.unique(-z, return_inverse=True)
+        hit, all_ = np.cumsum(np.bincount(first, labels)), np.cumsum(np.bincount(first))
+        k = int(np.argmax(2 * hit / (all_ + labels.sum())))
+        cut = -(cuts[k] + cuts[min(k + 1, len(cuts) - 1)]) / 2 if labels.any() else z.max() + 1
+        self.bias += float(np.log(THRESHOLD / (1 - THRESHOLD)) - cut)
+        return self
+
     def score(self, text: str) -> float:
         tokens = tokens_of(text)
         votes = self.voters.vote(text, tokens)
         return 1 / (1 + float(np.exp(-np.clip(self.logit(votes, word_features(tokens)), -30, 30))))
 
 
-def fit(sample: list[tuple[str, int]]) -> Linear:
-    """The classifier from labelled training texts."""
-    texts, y = [t or "" for t, _ in sample], np.array([x for _, x in sample], dtype=np.int64)
-    voters = Voters(LEXICON + mine(texts, y))
-    if not texts:
-        return Linear(voters)
-    votes, words = [], []
-    for t in texts:
-        tokens = tokens_of(t)
-        votes.append(voters.vote(t, tokens))
-        words.append(word_features(tokens))
-    votes = np.stack(votes)
-    model = LabelModel(votes, y)
-    return Linear(voters).fit(votes, words, model.posterior(votes, label_evidence(y)))
+def fit(votes: np.ndarray, words: list[np.ndarray], labels: np.ndarray, voters: Voters) -> Linear:
+    """The classifier from the votes, words and labels of training rows."""
+    model = Linear(voters)
+    if not len(labels):
+        model.bias = -2.0
+        return model
+    return model.fit(votes, words, LabelModel(votes, labels).posterior(votes)).calibrate(votes, words, labels)
 
 
 def score(docs: DataFrame, model: Linear) -> DataFrame:
@@ -198,9 +201,32 @@ def score(docs: DataFrame, model: Linear) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, out)
 
 
+def examples(sample: DataFrame, voters: Voters) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Votes, words and labels of the rows of ``sample`` (``doc_id``, ``text``, ``y``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            votes, words = [], []
+            for text in batch.column(1):
+                tokens = tokens_of(text.as_py() or "")
+                votes.append(voters.vote(text.as_py() or "", tokens).tobytes())
+                words.append(word_features(tokens).astype("<u2").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(votes, type=pa.binary()), pa.array(words, type=pa.binary())], ["doc_id", "y", "votes", "words"])
+
+    # at most SAMPLE rows, each of at most BUCKETS numbers
+    rows = sample.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, votes binary, words binary").orderBy("doc_id", "votes", "words").collect()
+    votes = np.frombuffer(b"".join(r.votes for r in rows), dtype=np.int8).reshape(len(rows), voters.count)
+    return votes, [np.frombuffer(r.words, dtype="<u2").astype(np.int64) for r in rows], np.array([r.y for r in rows], dtype=np.int64)
+
+
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Linear:
+    """The classifier, from at most ``most`` labelled rows that are not held out."""
     rows = labelled_sample(docs, labels, "toxic", most, lambda i: fold_bucket(i, FOLDS) != HELD_OUT)
-    return fit([(r.text, r.y) for r in rows.orderBy("doc_id").select("text", "y").toLocalIterator()])
+    sample = materialize(rows.select("doc_id", "text", (F.col("y") == 1).cast("int").alias("y")), "toxic")
+    voters = Voters(LEXICON + mine(sample))
+    votes, words, y = examples(sample, voters)
+    release(sample)
+    return fit(votes, words, y, voters)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
