@@ -1,11 +1,13 @@
 """Language-model scores from a subword lattice, with word counts of the training documents beside them.
 
-Model: pieces of an existing subword vocabulary are drawn independently until an end token is drawn.  A word's probability
-is the sum over all its segmentations, computed by a forward recursion in log space.  Piece weights start from the scores of
-the vocabulary file and are re-estimated once from expected counts over all distinct training words, weighted by how
-often they occur; every piece keeps a small share.  Characters that are no piece are spelled in byte pieces.
-Every training word is one more arc over its whole length, weighted by how often it occurs; the pieces share what Good-Turing
-leaves for words that training has not seen.  So the sum over segmentations stays a probability, also for unknown words.
+Model: pieces of an existing subword vocabulary are drawn independently until an end token is drawn.  A text's probability
+is the sum over all its segmentations, computed word by word by a forward recursion in log space, as no piece crosses a
+word's begin.  The scores of the vocabulary file weigh the pieces; they are merge ranks, the only scores there are, and a rank
+r stands for the weight 1 / (r + 10), as frequencies fall with the rank.  The share of end tokens is learned from the training
+rows.  Characters that are no piece are spelled in byte pieces.  ``score`` is this marginal and nothing else.
+
+Beside it stands ``mixed_score``, where every training word is one more arc over its whole length, weighted by how often it
+occurs, and the pieces share what Good-Turing leaves for words that training has not seen.
 
 Data flow: a task reads its split in chunks.  A chunk has its own list of distinct words, and a document is kept as numbers
 of that list with counts.  Only the lists are joined with the corpus-wide counts; what they find goes back to the chunk,
@@ -14,7 +16,7 @@ table of all words is ever broadcast; only piece weights are, as many as the voc
 
 Defined cases: a null text is an empty text and has just the end token; a null id counts as the empty string for the fold
 and stays null; repeated rows count as often as they come; with no training documents all counts are zero, there are no
-word arcs and the piece weights are those of the vocabulary; an empty table gives no rows.
+word arcs and the end token has an even chance; an empty table gives no rows; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,7 +40,6 @@ VOCABULARY = "piece_bpe_32k.model"
 FOLDS, HELD_OUT = 7, 2
 CHUNK_WORDS = 500_000
 CHUNK_DOCS = 200_000
-SHARE = 0.1
 LOG10 = math.log(10)
 MARK = "\u2581"
 NO_CHARACTER = "\ufdd0"  # stands for a literal MARK within a word, so that it is spelled in bytes
@@ -48,22 +49,22 @@ LISTS = "chunk long, doc_id long, held_out boolean, n_words long, numbers binary
 class Lattice:
     """Pieces and their natural log weights."""
 
-    def __init__(self, path: str, weights: np.ndarray | None = None):
+    def __init__(self, path: str):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
-        self.size = n + 1  # the last is the end token
         self.byte = [0] * 256
         self.index: dict[str, int] = {}
-        score = np.full(n + 1, -np.inf)
+        score = np.full(n, -np.inf)
         for i in range(n):
             if sp.is_control(i) or sp.is_unknown(i):
                 continue
             piece = sp.id_to_piece(i)
-            score[i] = -math.log(len(self.index) + 10 - min(0.0, sp.get_score(i)))
+            score[i] = -math.log(10 - min(0.0, sp.get_score(i)))
             if sp.is_byte(i):
                 self.byte[int(piece[3:-1], 16)] = i
+                score[i] = -math.log(10 + n)  # bytes come after all ranks
             else:
                 self.index[piece] = i
         self.trie: dict[str, list] = {}
@@ -72,82 +73,48 @@ class Lattice:
             for c in piece[:-1]:
                 level = level.setdefault(c, [-1, {}])[1]
             level.setdefault(piece[-1], [-1, {}])[0] = i
-        score[n] = score[np.isfinite(score)].max()
-        self.allowed = np.isfinite(score)
-        self.start = score - np.logaddexp.reduce(score[self.allowed])
-        self.log = (self.start if weights is None else weights).tolist()
-
-    def estimate(self, counts: np.ndarray) -> np.ndarray:
-        """Log weights from expected counts; all zero gives back the starting weights."""
-        if not counts.sum():
-            return self.start
-        c = np.where(self.allowed, counts + SHARE, 0.0)
-        with np.errstate(divide="ignore"):
-            return np.log(c / c.sum())
+        self.own = score - np.logaddexp.reduce(score[np.isfinite(score)])
+        self.end, self.log = 0.0, self.own.tolist()
+
+    def ending(self, share: float) -> Lattice:
+        """The same with an end token of the given share."""
+        out = copy.copy(self)
+        out.end, out.log = math.log(share), (self.own + math.log1p(-share)).tolist()
+        return out
 
     def _spelling(self, c: str) -> tuple[int, ...]:
         return tuple(self.byte[b] for b in c.encode("utf-8", "surrogatepass"))
 
-    def _alpha(self, word: str, arcs: list[tuple[int, int, float, int]] | None = None) -> list[float]:
-        """Log of the summed weight of all segmentations of every prefix; ``arcs`` collects (begin, end, log weight, piece),
-        where a piece below zero is the spelling of the character at ``begin``."""
+    def log_probability(self, word: str) -> float:
+        """Natural log of the sum over all segmentations, by a forward recursion in log space."""
         s = MARK + (word.replace(MARK, NO_CHARACTER) if MARK in word else word)
         n, log, root, exp, ln = len(s), self.log, self.trie, math.exp, math.log
         into: list[list[float]] = [[] for _ in range(n + 1)]
-        alpha = [0.0] * (n + 1)
+        into[0].append(0.0)
         for i in range(n):
-            if i:
-                terms = into[i]
-                if len(terms) == 1:
-                    a = terms[0]
-                elif terms:
-                    top = max(terms)
-                    a = top + ln(sum([exp(t - top) for t in terms]))
-                else:
-                    continue  # no segmentation ends here
-                alpha[i] = a
+            terms = into[i]
+            if len(terms) == 1:
+                a = terms[0]
+            elif terms:
+                top = max(terms)
+                a = top + ln(sum([exp(t - top) for t in terms]))
             else:
-                a = 0.0
+                continue  # no segmentation ends here
+            into[i] = []
             at = root.get(s[i])
             if at is None or at[0] < 0:
-                w = sum([log[b] for b in self._spelling(s[i])])
-                into[i + 1].append(a + w)
-                if arcs is not None:
-                    arcs.append((i, i + 1, w, -1))
+                into[i + 1].append(a + sum([log[b] for b in self._spelling(s[i])]))
             j = i + 1
             while at is not None:
                 p, below = at
                 if p >= 0:
                     into[j].append(a + log[p])
-                    if arcs is not None:
-                        arcs.append((i, j, log[p], p))
                 if j == n:
                     break
                 at = below.get(s[j])
                 j += 1
         top = max(into[n])
-        alpha[n] = top + ln(sum([exp(t - top) for t in into[n]]))
-        return alpha
-
-    def log_probability(self, word: str) -> float:
-        """Natural log of the sum over all segmentations, by a forward recursion in log space."""
-        return self._alpha(word)[-1]
-
-    def expected(self, word: str, count: float, totals: list[float]) -> None:
-        """Add ``count`` times the expected use of every piece in ``word``; each node's share flows back from the end."""
-        exp, arcs = math.exp, []
-        alpha = self._alpha(word, arcs)
-        share = [0.0] * len(alpha)
-        share[-1] = count
-        for i, j, w, p in reversed(arcs):  # begins descend, so a node's share is whole when its arcs are met
-            if share[j]:
-                x = share[j] * exp(alpha[i] + w - alpha[j])
-                share[i] += x
-                if p >= 0:
-                    totals[p] += x
-                else:
-                    for b in self._spelling((MARK + word.replace(MARK, NO_CHARACTER))[i]):
-                        totals[b] += x
+        return top + ln(sum([exp(t - top) for t in into[n]]))
 
 
 def unseen_share(once: int, tokens: int) -> float:
@@ -165,13 +132,11 @@ def with_word_arc(lp: np.ndarray, c: np.ndarray, tokens: int, share: float) -> n
 _READ: dict[str, Lattice] = {}
 
 
-def read_lattice(path: str, weights: np.ndarray | None = None) -> Lattice:
+def read_lattice(path: str) -> Lattice:
     """A lattice whose vocabulary is read once per worker."""
     if path not in _READ:
         _READ[path] = Lattice(path)
-    out = copy.copy(_READ[path])
-    out.log = (out.start if weights is None else weights).tolist()
-    return out
+    return _READ[path]
 
 
 def word_lists(docs: DataFrame) -> DataFrame:
@@ -223,25 +188,6 @@ def word_lists(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, LISTS)
 
 
-def expected_counts(words: DataFrame, path: str) -> np.ndarray:
-    """Expected use of every piece over the training words ``word``, ``c``; only as many sums as pieces reach the driver."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = read_lattice(path)
-        totals = [0.0] * lattice.size
-        for batch in batches:
-            for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                lattice.expected(word, c, totals)
-        used = [i for i, x in enumerate(totals) if x]
-        yield pa.RecordBatch.from_arrays([pa.array(used, type=pa.int32()), pa.array([totals[i] for i in used], type=pa.float64())], ["piece", "uses"])
-
-    sums = words.mapInArrow(run, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
-    out = np.zeros(read_lattice(path).size)
-    for r in sums:
-        out[r.piece] = r.uses
-    return out
-
-
 def score(docs: DataFrame, path: str) -> DataFrame:
     """Columns of the contract for every document."""
     spark = docs.sparkSession
@@ -254,16 +200,12 @@ def score(docs: DataFrame, path: str) -> DataFrame:
     n_distinct, n_once = known.filter("c > 0").agg(F.count("*"), F.count(F.when(F.col("c") == 1, 1))).first()
     distinct = n_distinct + (n_docs > 0)
     share = unseen_share(n_once + (n_docs == 1), n_train)
-    counts = expected_counts(known.filter("c > 0"), path)
-    counts[-1] = n_docs
-    log = read_lattice(path).estimate(counts)
-    sent = spark.sparkContext.broadcast(log)  # one number per piece of the vocabulary
+    ends = (n_docs + 1) / (n_train + 2)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = read_lattice(path, sent.value)
+        lattice = read_lattice(path).ending(ends)
         for batch in batches:
-            pieces = np.array([lattice.log_probability(w) for w in batch.column(0).to_pylist()])
-            lp = with_word_arc(pieces, batch.column(1).to_numpy().astype(np.float64), n_train, share)
+            lp = [lattice.log_probability(w) for w in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lp, type=pa.float64())], ["word", "c", "lp"])
 
     weighed = known.mapInArrow(weigh, "word string, c long, lp double")
@@ -279,7 +221,7 @@ def score(docs: DataFrame, path: str) -> DataFrame:
             cut = np.append(np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1])), len(chunk))
             blobs = []
             for i, j in zip(cut, cut[1:], strict=False):
-                raw = np.diff(idx[i:j], prepend=0).astype("<u4").tobytes() + c[i:j].astype("<u8").tobytes() + lp[i:j].astype("<f4").tobytes()
+                raw = np.diff(idx[i:j], prepend=0).astype("<u4").tobytes() + c[i:j].astype("<u8").tobytes() + lp[i:j].astype("<f8").tobytes()
                 blobs.append(zlib.compress(raw, 1))
             n = len(blobs)
             return pa.RecordBatch.from_arrays([pa.array(chunk[cut[:-1]]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.array([-1] * n, type=pa.int64()), pa.array(blobs, type=pa.binary())], schema=reply)
@@ -288,7 +230,7 @@ def score(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             held.append(batch)
             n += batch.num_rows
-            if n >= 1_000_000:
+            if n >= 500_000:
                 yield packed(held)
                 held, n = [], 0
         if n:
@@ -297,39 +239,38 @@ def score(docs: DataFrame, path: str) -> DataFrame:
     both = found.mapInArrow(send_back, "chunk long, doc_id long, held_out boolean, n_words long, numbers binary").unionByName(
         documents.select("chunk", "doc_id", "held_out", "n_words", "numbers")
     )
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # as many partitions as chunks, so that none grows with the table
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), documents.select("chunk").distinct().count())
     met = both.repartition(parts, "chunk").sortWithinPartitions("chunk", "n_words")  # replies have -1 words and come first
-    out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, mixed_score double"
     result = arrow_schema(out)
-    end_count, below = n_docs, math.log10(n_train + distinct + 1)
-    end_log = float(with_word_arc(log[-1], np.float64(n_docs), n_train, share)) / LOG10
+    end_count, below, end_log = n_docs, math.log10(n_train + distinct + 1), math.log(ends)
+    end_mixed = float(with_word_arc(np.array([end_log]), np.array([n_docs]), n_train, share)[0])
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = None
-        c_log, c_known, c_model = np.zeros(0), np.zeros(0, dtype=bool), np.zeros(0)
+        now, sums, known_ = None, np.zeros((3, 0)), np.zeros(0, dtype=bool)
         for batch in batches:
             rows: list[list] = [[] for _ in result]
             for chunk, doc_id, held, n, blob in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 if chunk != now:
-                    now = chunk
-                    c_log, c_known, c_model = np.zeros(1024), np.zeros(1024, dtype=bool), np.zeros(1024)
-                raw = zlib.decompress(blob) if n < 0 else blob
+                    now, sums, known_ = chunk, np.zeros((3, 1024)), np.zeros(1024, dtype=bool)
                 if n < 0:
-                    m = len(raw) // 16
+                    raw = zlib.decompress(blob)
+                    m = len(raw) // 20
                     idx = np.cumsum(np.frombuffer(raw, "<u4", m))
-                    if len(idx) and (top := int(idx[-1]) + 1) > len(c_log):
-                        more = max(top, 2 * len(c_log)) - len(c_log)
-                        c_log, c_known, c_model = (np.append(x, np.zeros(more, dtype=x.dtype)) for x in (c_log, c_known, c_model))
-                    c = np.frombuffer(raw, "<u8", m, 4 * m).astype(np.float64)
-                    c_log[idx], c_known[idx] = np.log10(c + 1), c > 0
-                    c_model[idx] = np.frombuffer(raw, "<f4", m, 12 * m)
+                    if m and (top := int(idx[-1]) + 1) > len(known_):
+                        more = max(top, 2 * len(known_)) - len(known_)
+                        sums, known_ = np.append(sums, np.zeros((3, more)), axis=1), np.append(known_, np.zeros(more, dtype=bool))
+                    c, lp = np.frombuffer(raw, "<u8", m, 4 * m).astype(np.float64), np.frombuffer(raw, "<f8", m, 12 * m)
+                    sums[:, idx] = np.log10(c + 1), lp / LOG10, with_word_arc(lp, c, n_train, share) / LOG10
+                    known_[idx] = c > 0
                     continue
-                m = len(raw) // 8
-                idx, cnt = np.cumsum(np.frombuffer(raw, "<u4", m)), np.frombuffer(raw, "<u4", m, 4 * m).astype(np.float64)
-                base = float(cnt @ c_log[idx]) + math.log10(end_count + 1) - (n + 1) * below
-                model = float(cnt @ c_model[idx]) / LOG10 + end_log
-                seen = int(cnt @ c_known[idx]) + (end_count > 0)
-                for col, v in zip(rows, (doc_id, held, n + 1, seen, n_train, base, model), strict=True):
+                m = len(blob) // 8
+                idx, cnt = np.cumsum(np.frombuffer(blob, "<u4", m)), np.frombuffer(blob, "<u4", m, 4 * m).astype(np.float64)
+                base, model, mixed = (sums[:, idx] @ cnt).tolist()
+                seen = int(cnt @ known_[idx]) + (end_count > 0)
+                values = (doc_id, held, n + 1, seen, n_train, base + math.log10(end_count + 1) - (n + 1) * below, model + end_log / LOG10, mixed + end_mixed / LOG10)
+                for col, v in zip(rows, values, strict=True):
                     col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(rows, result, strict=True)], schema=result)
 
