@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..arrow import arrow_schema as arrow_schema
+
 _TABLES: list[tuple[SparkSession, str]] = []
 
 
@@ -61,6 +63,14 @@ def numbered(df: DataFrame, tag: str, number: str = "rid") -> DataFrame:
     return materialize(df.select(F.monotonically_increasing_id().alias(number), *df.columns), tag)
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name like ``base`` that ``df`` does not have, in any case of letters."""
+    taken, name = {c.lower() for c in df.columns}, f"_{base}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables of :func:`materialize` that no later step reads."""
     for df in tables:
@@ -106,14 +116,6 @@ def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], sc
     return df.mapInArrow(run, schema)
 
 
-def arrow_schema(schema: str) -> pa.Schema:
-    """The Arrow form of a DDL schema."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    return to_arrow_schema(_parse_datatype_string(schema))
-
-
 def fold_bucket(doc_id: Column, n: int) -> Column:
     """crc32 of the decimal id, modulo ``n``; a null id counts as the empty string."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n)).cast("int")

@@ -1,18 +1,23 @@
 """Quality selection by importance resampling.
 
 Two generative models of hashed word and word-pair counts are compared: one of the target text (labelled good rows, at most
-``SAMPLE`` of them) and one of the raw text, counted over all documents.  A document's log weight is the log ratio of its
-probability under both.  Gumbel noise from a hash of the row is added, and the documents of the k greatest sums are
-selected.  k is the number of documents whose sum reaches a cut, which is set so that it keeps all but a small share of
-the good rows of the half of the sample that the target model has not seen; selecting by the cut is the same as the top k, without a global sort.
-
-Defined cases: a null or empty text has log weight 0; a null id is passed through; repeated rows have the same weight, and
-the same noise if their ids are equal too; without good labels the two models are equal and all is kept; an empty table
-gives no rows.
+``SAMPLE`` of them) and one of the raw text, counted over all documents.  A document's log importance weight is the mean
+log ratio of its n-grams under both, times ``SCALE``: every document counts as if it had ``SCALE`` n-grams, so that long ones
+do not decide by their length alone and the noise has a say near the border.  Standard Gumbel noise from a hash of the id is
+added, and the documents of the k greatest sums are the sample, drawn without replacement in proportion to the weights.
+
+k is a parameter; if it is not given, it is the share of good rows among the labelled ones, of all rows.  The k-th greatest sum is
+found exactly: sums are mapped to whole numbers of the same order and their digits counted, ``DIGIT`` bits at a time, so that
+only counts reach the driver and nothing is sorted.  Ties go to the smaller id, then to the earlier stored row.
+
+Defined cases: a null or empty text has log weight 0; a null id is passed through and loses ties; repeated rows have the same
+weight, and the same noise if their ids are equal too; without labelled rows the two models are equal and all rows are kept; an
+empty table gives no rows; columns of any name may come along, none is reserved.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +26,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, table
+from .common import free_name, materialize, release, table
 from .features import labelled_sample, ngram_buckets
 
 BUCKETS = 1 << 14
 SAMPLE = 12_000
-LOST_GOOD = 0.01
+SCALE = 50.0
+DIGIT = 16
 SMOOTH = 1.0
 
 
@@ -55,19 +61,22 @@ def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return np.log(p / p.sum()) - np.log(q / q.sum())
 
 
-def with_weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """All columns of ``docs`` and ``_log_weight``."""
-    sent = docs.sparkSession.sparkContext.broadcast(ratio)
+def with_weights(docs: DataFrame, ratio: np.ndarray, name: str) -> DataFrame:
+    """All columns of ``docs`` and ``name``, the log weight."""
+    sent = docs.sparkSession.sparkContext.broadcast(ratio)  # a fixed number of buckets
     at = docs.columns.index("text")
-    out = T.StructType([*docs.schema.fields, T.StructField("_log_weight", T.DoubleType())])
+    out = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = sent.value
         for batch in batches:
-            weights = [float(w[ngram_buckets(t.as_py(), BUCKETS)].sum()) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weights, type=pa.float64())], [*batch.schema.names, "_log_weight"])
+            weights = []
+            for t in batch.column(at):
+                buckets = ngram_buckets(t.as_py(), BUCKETS)
+                weights.append(float(w[buckets].mean()) * SCALE if len(buckets) else 0.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weights, type=pa.float64())], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, out)
+    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, out)
 
 
 def gumbel(*key: Column) -> Column:
@@ -76,30 +85,73 @@ def gumbel(*key: Column) -> Column:
     return -F.log(-F.log(u))
 
 
-def calibrated(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, lost: float = LOST_GOOD) -> tuple[np.ndarray, float]:
-    """The log ratio per bucket, and the cut that keeps all but a share of ``lost`` of the good rows of the sample."""
-    sample = materialize(labelled_sample(docs, labels, "quality", most), "quality").filter("y = 1")
-    fits = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)) == 0
-    ratio = log_ratio(bucket_counts(sample.filter(fits)), bucket_counts(docs))
-    scored = with_weights(sample.filter(~fits), ratio).select((F.col("_log_weight") + gumbel(F.col("doc_id"))).alias("k"))
-    cut = scored.agg(F.percentile_approx("k", lost, 10000)).first()[0]
-    return ratio, float("-inf") if cut is None else float(cut)
-
-
-def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def kth(rows: DataFrame, columns: list[str], k: int) -> list[int]:
+    """Values of the long ``columns`` in the k-th row (from 1) of their ascending order, of at least k rows.
+
+    Digits are counted from the highest, so at most ``2 ** DIGIT`` counts reach the driver at a time.  As soon as all rows that
+    agree so far are among the k, the digits and columns left are given their greatest value."""
+    found, todo, rest = [], k, rows
+    for name in columns:
+        value, whole = 0, False
+        for shift in range(64 - DIGIT, -1, -DIGIT):
+            digit = F.shiftrightunsigned(F.col(name).bitwiseXOR(F.lit(-(1 << 63))), shift).bitwiseAND(F.lit((1 << DIGIT) - 1))
+            if whole:
+                value = value << DIGIT | (1 << DIGIT) - 1
+                continue
+            for r in sorted(rest.groupBy(digit.alias("d")).agg(F.count("*").alias("n")).collect()):
+                if todo <= r.n:
+                    break
+                todo -= r.n
+            value, whole = value << DIGIT | r.d, todo == r.n
+            rest = rest.filter(digit == r.d)
+        found.append(value - (1 << 63))
+        if whole:
+            break
+    return found + [(1 << 63) - 1] * (len(columns) - len(found))
+
+
+def models(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[np.ndarray, float]:
+    """The log ratio per bucket, and the share of good rows among the labelled ones (1 without any)."""
+    sample = materialize(labelled_sample(docs, labels, "quality", most), "quality")
+    good, n = sample.agg(F.count(F.when(F.col("y") == 1, 1)), F.count("*")).first()
+    ratio = log_ratio(bucket_counts(sample.filter("y = 1")), bucket_counts(docs))
+    release(sample)
+    return ratio, good / n if good else 1.0
+
+
+def drawn(docs: DataFrame, labels: DataFrame, k: int | None = None) -> tuple[DataFrame, list[str], Column, Column]:
+    """A stored table of the rows of ``docs`` with weights, the names of its three added columns (row number, log weight, sum),
+    and two of its expressions: the sum, and whether the row is among the k."""
+    ratio, share = models(docs, labels)
+    number, weight, total = free_name(docs, "row"), free_name(docs, "log_weight"), free_name(docs, "sum")
+    rows = with_weights(docs, ratio, weight)
+    key = F.col(weight) + gumbel(F.col("doc_id").cast("long"))
+    fixed = F.round(key * float(1 << 40)).cast("long")  # sums are compared at this step
+    stored = materialize(rows.select(*docs.columns, F.monotonically_increasing_id().alias(number), weight, fixed.alias(total)), "weighed")
+    n = stored.count()
+    k = math.ceil(share * n) if k is None else k
+    order = [-F.col(total), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), F.col(number)]
+    if k >= n:
+        chosen = F.lit(True)
+    elif k <= 0:
+        chosen = F.lit(False)
+    else:
+        a, b, c = kth(stored.select(*[x.alias(f"k{i}") for i, x in enumerate(order)]), ["k0", "k1", "k2"], k)
+        chosen = (order[0] < a) | (order[0] == a) & ((order[1] < b) | (order[1] == b) & (order[2] <= c))
+    return stored, [number, weight, total], F.col(total) / float(1 << 40), chosen
+
+
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
     """``doc_id``, ``log_weight``, ``gumbel_key``, ``selected`` (0 or 1) of every document."""
-    ratio, cut = calibrated(docs, labels)
-    rows = with_weights(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ratio)
-    key = F.col("_log_weight") + gumbel(F.col("doc_id"))
-    return rows.select("doc_id", F.col("_log_weight").alias("log_weight"), key.alias("gumbel_key"), (key >= cut).cast("int").alias("selected"))
+    stored, (_, weight, _), key, chosen = drawn(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, k)
+    return stored.select("doc_id", F.col(weight).alias("log_weight"), key.alias("gumbel_key"), chosen.cast("int").alias("selected"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-def keep_selected(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def keep_selected(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
     """The selected rows of ``docs``, with their columns."""
-    ratio, cut = calibrated(docs, labels)
-    rows = with_weights(docs, ratio)
-    return rows.filter(F.col("_log_weight") + gumbel(F.col("doc_id").cast("long")) >= cut).select(*docs.columns)
+    stored, _, _, chosen = drawn(docs, labels, k)
+    return stored.filter(chosen).select(*docs.columns)
