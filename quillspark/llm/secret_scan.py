@@ -34,6 +34,8 @@ KINDS = ("assign", "access", "hex", "live")
 PATTERNS = ((ASSIGN, 2, 12), (ACCESS, 0, 18), (HEX, 0, 16), (TOKEN, 0, 20))
 MAX_OWNERS = 2
 MAX_REPOSITORIES = 3
+#: A value of so many spans is hot, in a corpus of many spans one of 1 / SPLIT of them.
+HOT, SPLIT = 1024, 8192
 
 
 def matches(text: Column, pattern: str, group: int) -> tuple[Column, Column, Column]:
@@ -76,18 +78,30 @@ def spans(found: DataFrame) -> DataFrame:
 
 
 def ownership(all_spans: DataFrame) -> DataFrame:
-    """``h`` and ``live``: whether the value is held by few owners and few repositories."""
+    """``h``, ``live`` (whether the value is held by few owners and few repositories), ``owners`` and ``n`` (spans)."""
     by_repository = all_spans.groupBy("h", "source").agg(F.count("*").alias("n"))
     owner = F.split_part("source", F.lit("/"), F.lit(1))
-    by_owner = by_repository.groupBy("h", owner.alias("owner")).agg(F.count("*").alias("repositories"))
-    totals = by_owner.groupBy("h").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
-    return totals.select("h", ((F.col("owners") <= MAX_OWNERS) & (F.col("repositories") <= MAX_REPOSITORIES)).alias("live"))
+    by_owner = by_repository.groupBy("h", owner.alias("owner")).agg(F.count("*").alias("repositories"), F.sum("n").alias("n"))
+    totals = by_owner.groupBy("h").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.sum("n").alias("n"))
+    live = (F.col("owners") <= MAX_OWNERS) & (F.col("repositories") <= MAX_REPOSITORIES)
+    return totals.select("h", live.alias("live"), F.col("owners").cast("long").alias("owners"), "n")
+
+
+def judged_by_owners(every: DataFrame) -> DataFrame:
+    """Spans with ``live`` and ``owners`` of their values.  Values of many spans (at most ``SPLIT`` of them) are broadcast, so that a
+    value held by a third of all rows stays where it is; the others are shuffled."""
+    held = materialize(ownership(every), "owners")
+    most = F.greatest(F.lit(HOT), F.floor(F.sum("n") / SPLIT))
+    hot = held.agg(most).first()[0] or HOT
+    few = F.broadcast(held.filter(F.col("n") > hot).drop("n"))
+    rest = every.join(few.select("h"), "h", "left_anti").join(held.filter(F.col("n") <= hot).drop("n"), "h")
+    return every.join(few, "h").unionByName(rest)
 
 
 def decide(found: DataFrame) -> DataFrame:
     """``rid``, ``kept`` (reported spans as (start, kind, end), in order), ``n_live`` and ``n_example`` of rows with candidates."""
     every = materialize(spans(found), "spans")
-    judged = every.join(ownership(every), "h")
+    judged = judged_by_owners(every)
     base = F.col("kind") < 3
     order = Window.partitionBy("rid").orderBy("start", "kind")
     before = F.max(F.when(base, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
