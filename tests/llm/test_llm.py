@@ -120,12 +120,36 @@ def test_toxicity(spark):
         rng.shuffle(words)
         rows.append((i, " ".join(words)))
         labels.append((i, int(bad)))
-    df, lab = spark.createDataFrame(rows + [(None, None), (1000, "")], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
-    out = {r.doc_id: r for r in toxicity.score(df, toxicity.train(df, lab)).collect()}
+    extra = "doc_id long, text string, y int, votes string, words string, w string"
+    df = spark.createDataFrame([(*r, 7, "v", "w", "x") for r in rows + [(None, None), (1000, "")]], extra)
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(df, lab)
+    out = {r.doc_id: r for r in toxicity.score(df, model).collect()}
     held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 == 2]
     assert all(out[i].held_out == (i in set(held)) for i in range(400)) and 0 <= out[1000].score <= 1
     assert auc([out[i].score for i in held], [labels[i][1] for i in held]) > 0.97
-    assert toxicity.score(df.limit(0), toxicity.fit([])).count() == 0
+    assert sum(out[i].predicted == labels[i][1] for i in held) >= 0.95 * len(held)
+    assert "zorgish" in model.voters.words  # found by its labels alone
+    none = {(r.score, r.predicted) for r in toxicity.score(df, toxicity.train(df, lab.limit(0))).collect()}
+    assert len(none) == 1 and {p for _, p in none} == {0}
+    assert toxicity.score(df.limit(0), model).count() == 0
+
+
+def test_label_model_gives_labels_no_vote():
+    rng = np.random.default_rng(3)
+    y = (rng.random(3000) < 0.2).astype(int)
+    rate = np.array([[0.02] * 6 + [0.3], [0.35] * 6 + [0.3]])
+    votes = (rng.random((3000, 7)) < rate[y]).astype(np.int8)
+    wrong = np.where(rng.random(3000) < 0.25, 1 - y, y)  # a quarter of the given labels is wrong
+    model = toxicity.LabelModel(votes, wrong)
+    p = model.posterior(votes)
+    assert auc(p, y) > 0.93 > auc(wrong, y)
+    assert ((p > 0.5) == y).mean() > ((p > 0.5) == wrong).mean() + 0.1
+    assert len(np.unique(p)) <= len(np.unique(votes, axis=0))  # rows of equal votes have equal posteriors, whatever their labels
+    assert np.allclose(model.rate[:, 6], 0.3, atol=0.06) and (model.rate[1, :6] > 2 * model.rate[0, :6]).all()
+    twins = np.repeat(votes[:, :1], 5, axis=1)
+    many = toxicity.LabelModel(np.hstack([votes, twins]), wrong)
+    assert many.weight[0] < 0.5 * many.weight[1]  # copies of one voter count less
 
 
 def test_secrets(docs, empty):
@@ -191,28 +215,45 @@ def test_language_model(docs, empty):
     train = [w for i, w in words if zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2]
     c = collections.Counter(x for w in train for x in w)
     n, v = sum(c.values()) + len(train), len(c) + 1
-    lattice = lattice_lm.Lattice(path)
-    uses = [0.0] * lattice.size
-    for x, k in c.items():
-        lattice.expected(x, k, uses)
-    uses[-1] = len(train)
-    lattice = lattice_lm.Lattice(path, lattice.estimate(np.array(uses)))
-    share = (sum(k == 1 for k in c.values()) + 1) / (n + 1)
-    chance = lambda lp, k: math.log10(share * math.exp(lp) + (1 - share) * k / n)
+    share, ends = (sum(k == 1 for k in c.values()) + 1) / (n + 1), (len(train) + 1) / (n + 2)
+    lattice = lattice_lm.Lattice(path).ending(ends)
+    mixed = lambda lp, k: math.log10(share * math.exp(lp) + (1 - share) * k / n)
     for i, w in words:
         r = out[i, len(w) + 1]
         base = sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w) + math.log10((len(train) + 1) / (n + v + 1))
         assert math.isclose(r.base_score, base, rel_tol=1e-9) and r.train_tokens == n
-        if max(map(len, w), default=0) < 200:  # longer words are too unlikely for plain floats
-            want = sum(chance(lattice.log_probability(x), c[x]) for x in w) + chance(lattice.log[-1], len(train))
-            assert math.isclose(r.score, want, rel_tol=1e-5)
+        if max(map(len, w), default=0) < 100:  # longer words are too unlikely for plain floats
+            want = sum(math.log10(slow_marginal(lattice, x)) for x in w) + math.log10(ends)
+            assert math.isclose(r.score, want, rel_tol=1e-9)
+            want = sum(mixed(math.log(slow_marginal(lattice, x)), c[x]) for x in w) + mixed(math.log(ends), len(train))
+            assert math.isclose(r.mixed_score, want, rel_tol=1e-9)
     held = [r for r in out.values() if r.held_out and r.n_known == r.n_tokens]
-    assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
+    assert held and all(r.mixed_score > r.score for r in held if r.n_tokens > 1)
     assert lattice_lm.score(empty, path).count() == 0
     none = lattice_lm.score(df.filter("doc_id = 13"), path).first()  # held out, so that there is no training row
     assert none.held_out and none.train_tokens == none.n_known == 0 and math.isfinite(none.score)
 
 
+def slow_marginal(lattice, word):
+    """Probability of a word by plain sums over the pieces that may begin it."""
+    s = lattice_lm.MARK + word
+    known = {}
+
+    def rest(i):
+        if i == len(s):
+            return 1.0
+        if i not in known:
+            total = sum(math.exp(lattice.log[lattice.index[s[i:j]]]) * rest(j) for j in range(len(s), i, -1) if s[i:j] in lattice.index)
+            if s[i] not in lattice.index:
+                total += math.prod(math.exp(lattice.log[lattice.byte[b]]) for b in s[i].encode()) * rest(i + 1)
+            known[i] = total
+        return known[i]
+
+    for i in range(len(s), -1, -1):
+        rest(i)
+    return rest(0)
+
+
 def test_pieces_have_it_all_without_training():
     lp = np.array([-3.0, -700.0])
     assert lattice_lm.unseen_share(0, 0) == 1 and np.allclose(lattice_lm.with_word_arc(lp, np.zeros(2), 0, 1.0), lp)
@@ -231,9 +272,10 @@ def test_lattice_sums_all_segmentations():
         if all(p in lattice.index for p in parts):
             total += math.exp(sum(lattice.log[lattice.index[p]] for p in parts))
     assert math.isclose(lattice.log_probability("heard"), math.log(total), rel_tol=1e-9)
-    uses = [0.0] * lattice.size
-    lattice.expected("heard", 2.0, uses)
-    assert math.isclose(sum(u * len(p) for p, i in lattice.index.items() if (u := uses[i])), 2.0 * len(s), rel_tol=1e-9)
+    pieces = [*lattice.index.values(), *lattice.byte]
+    assert math.isclose(sum(math.exp(lattice.own[i]) for i in pieces), 1, rel_tol=1e-9)
+    ended = lattice.ending(0.25)
+    assert math.isclose(sum(math.exp(ended.log[i]) for i in pieces) + math.exp(ended.end), 1, rel_tol=1e-9)
 
 
 def test_simhash(spark, docs, empty):
@@ -263,6 +305,28 @@ def test_simhash(spark, docs, empty):
     assert simhash.near_classes(simhash.fingerprints(empty)).count() == 0
 
 
+def test_components_with_hot_nodes(spark, monkeypatch):
+    rng = random.Random(12)
+    edges = [(0, k) for k in range(1, 300)] + [(299, 1000 + k) for k in range(200)] + [(5000 + k, 5001 + k) for k in range(9)]
+    edges += [(9000 + rng.randrange(60), 9000 + rng.randrange(60)) for _ in range(50)]
+    rng.shuffle(edges)
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    for least in (1024, 20):
+        monkeypatch.setattr(components, "HOT", least)
+        got = components.components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()
+        assert {r.node: r.root for r in got} == {x: find(x) for x in linked} and len(got) == len(linked)
+
+
 def test_links_in_blocks_and_cells(spark):
     rng = random.Random(7)
     base = [rng.getrandbits(64) for _ in range(6)]
@@ -316,12 +380,47 @@ def test_importance(spark, empty):
         bad = i % 5 == 0
         rows.append((i, " ".join(w + (rng.choice(["###", "%%%"]) if bad else "") for w in rng.choices(WORDS, k=60))))
         labels.append((i, int(not bad)))
-    df, lab = spark.createDataFrame([*rows, (None, None), (999, "")], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    names = "doc_id long, text string, _log_weight double, _row long, _sum long, log_weight string"
+    df = spark.createDataFrame([(*r, 1.0, 2, 3, "x") for r in [*rows, (None, None), (999, "")]], names).repartition(3)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int")
     out = {r.doc_id: r for r in importance.resample(df, lab).collect()}
     assert len(out) == 402 and out[999].log_weight == 0
     assert auc([out[i].log_weight for i in range(400)], [y for _, y in labels]) > 0.99
-    assert sum(out[i].selected for i in range(400) if i % 5) > 300
-    assert importance.resample(empty, lab).count() == 0
+    assert sum(r.selected for r in out.values()) == math.ceil(0.8 * 402) and sum(out[i].selected for i in range(400) if i % 5) > 310
+    for k in (0, 7, 402):
+        got = importance.resample(df, lab, k).collect()
+        best = sorted(got, key=lambda r: (-r.gumbel_key, r.doc_id is None, r.doc_id))[:k]
+        assert {r.doc_id for r in got if r.selected} == {r.doc_id for r in best}
+        kept = importance.keep_selected(df, lab, k)
+        assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in best}
+    same = spark.createDataFrame([(1, "a b c")] * 50 + [(2, "a b c")] * 50 + [(None, "")] * 3, "doc_id long, text string")
+    assert importance.resample(same, lab, 60).filter("selected = 1").count() == 60  # ties
+    assert importance.keep_selected(df, lab.limit(0)).count() == 402
+    assert importance.resample(empty, lab).count() == 0 and importance.keep_selected(empty, lab).count() == 0
+
+
+def test_weights_against_plain_counts(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choices(WORDS[: 8 + i % 20], k=rng.randrange(1, 60)))) for i in range(60)]
+    labels = [(i, i % 3 % 2) for i in range(0, 60, 2)]
+    df, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    grams = {i: importance.ngram_buckets(t, importance.BUCKETS).tolist() for i, t in rows}
+    raw = collections.Counter(b for g in grams.values() for b in g)
+    target = collections.Counter(b for i, y in labels if y for b in grams[i])
+    size = importance.BUCKETS
+    p = lambda c, b: (c[b] + 1) / (sum(c.values()) + size)
+    for r in importance.resample(df, lab).collect():
+        want = 50 * sum(math.log(p(target, b) / p(raw, b)) for b in grams[r.doc_id]) / len(grams[r.doc_id])
+        assert math.isclose(r.log_weight, want, rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_kth_of_long_columns(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice([-(2**62), -5, 0, 3, 2**61]), rng.randrange(-3, 3), k) for k in range(300)]
+    df = spark.createDataFrame(rows, "a long, b long, c long").repartition(4)
+    for k in (1, 150):
+        cut = tuple(importance.kth(df, ["a", "b", "c"], k))
+        assert sum(r <= cut for r in rows) == k
 
 
 def test_pipeline(spark, tmp_path):
