@@ -2,15 +2,16 @@
 
 A byte goes if some string of ``LENGTH`` bytes that covers it also starts anywhere else in the table.  Equal strings have
 the same smallest ``GRAM``-byte hash inside, so consecutive string starts with the same smallest hash form one piece, and
-equal strings always lie in pieces with equal hashes.  Pieces whose hash is met once are dropped; pieces of the same bytes
+equal strings always lie in pieces with equal hashes.  A piece has at most ``MOST_STARTS`` string starts.  Pieces whose hash is met once are dropped; pieces of the same bytes
 are counted together.  Where pieces of one hash differ, the distinct ones are concatenated and sorted by the linear
-grouping construction of :mod:`gsaca`; neighbours in that order that agree in ``LENGTH`` bytes are repeats.  The
+grouping construction of :mod:`gsaca`; neighbours in that order that agree in ``LENGTH`` bytes are repeats.  A hash with more
+than ``HOT_KINDS`` distinct pieces is too much for one task; its strings are told apart by digests, dealt by their value.  The
 verdict for each distinct piece goes back to all its places, and the places of a document are merged.
 
 Rows are numbered once, in a table that also holds the texts; every later step reads the stored number.  Texts are read
 three times from there and shuffled once, for the last step.  Hashes that need attention are marked in a bitmap of fixed
-size; a false mark costs time, never a result.  A piece that many documents share is reduced to one row per task before
-it is shuffled; pieces are compared by 128-bit digests of their bytes.
+size; a false mark costs time, never a result.  A piece that many documents share is one row per task, which lists its places;
+pieces are compared by 128-bit digests of their bytes.
 
 Defined cases: a null text has no bytes; repeated rows are repeats of each other and lose all strings of that length; a null
 id is passed through; texts shorter than ``LENGTH`` bytes are kept; an empty table gives no rows.
@@ -33,6 +34,8 @@ from .gsaca import suffix_array
 LENGTH = 200
 GRAM = 50
 BITMAP_BITS = 1 << 27
+HOT_KINDS = 256
+MOST_STARTS = 1024
 _BASE = 0x9E3779B97F4A7C15
 _POWERS = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
@@ -72,6 +75,9 @@ def pieces(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndar
     window = length - gram + 1
     least = _extreme(h, window, np.minimum)
     first = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+    size = np.diff(np.append(first, len(least)))
+    if (size > MOST_STARTS).any():  # a repetitive text
+        first = np.concatenate([np.arange(a, a + n, MOST_STARTS) for a, n in zip(first.tolist(), size.tolist(), strict=True)])
     edge = np.zeros(window - 1, dtype=np.uint64)
     smallest = h[h == _extreme(np.concatenate([edge, least, edge]), window, np.maximum)]  # smallest of some window around them
     again = smallest[1:][smallest[1:] == smallest[:-1]]
@@ -173,34 +179,49 @@ def verdicts(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
 
     seen = scan.mapInArrow(hashes, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
     repeated = spark.sparkContext.broadcast(_bitmap(seen.select("h")))
-    member_schema = arrow_schema("h long, d1 long, d2 long, rid long, start int, size int, twice boolean")
+    place_kinds = "h long, d1 long, d2 long, size int, n long, twice boolean, at binary"
+    member_schema = arrow_schema(place_kinds)
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols: list[list] = [[] for _ in member_schema]
+        """One row for each distinct piece of some texts, with all its places: number of the text and first byte."""
+        held: dict[tuple, list] = {}
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            rows = [(*k, v[0], len(v[2]) // 2, v[1], np.array(v[2], dtype="<i8").tobytes()) for k, v in held.items()]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=f.type) for k, f in enumerate(member_schema)], schema=member_schema)
+
         for rid, data in _rows(batches):
             h, a, b, twice = pieces(data, length, gram)
             for k in np.flatnonzero(_marked(repeated.value, h)).tolist():
-                d1, d2 = _digest(data[a[k] : b[k] + length])
-                for c, v in zip(cols, (h[k], d1, d2, rid, a[k], b[k] - a[k] + 1, twice[k]), strict=True):
-                    c.append(v)
-            if len(cols[0]) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, member_schema, strict=True)], schema=member_schema)
-                cols = [[] for _ in member_schema]
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, member_schema, strict=True)], schema=member_schema)
+                first, last = int(a[k]), int(b[k])
+                entry = held.setdefault((int(h[k]), *_digest(data[first : last + length])), [last - first + 1, bool(twice[k]), []])
+                entry[2] += (rid, first)
+                size += 1
+            if size > 100_000:
+                yield flush()
+                size = 0
+        yield flush()
 
-    places = materialize(scan.mapInArrow(members, "h long, d1 long, d2 long, rid long, start int, size int, twice boolean"), "places")
-    kinds = materialize(places.groupBy("h", "d1", "d2").agg(F.count("*").alias("n"), F.max("twice").alias("twice")), "pieces")
+    places = materialize(scan.mapInArrow(members, place_kinds), "places")
+    kinds = materialize(places.groupBy("h", "d1", "d2").agg(F.sum("n").alias("n"), F.max("twice").alias("twice")), "pieces")
     by_hash = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.max("twice").alias("twice"))
     mixed = by_hash.filter((F.col("kinds") > 1) | F.col("twice")).select("h")
     differing = spark.sparkContext.broadcast(_bitmap(mixed))
-    text_schema = arrow_schema("h long, d1 long, d2 long, n long, piece binary")
+    crowded = by_hash.filter(F.col("kinds") > HOT_KINDS).select("h")
+    n_hot = kinds.join(crowded, "h", "left_semi").count()
+    hot = spark.sparkContext.broadcast(_bitmap(crowded) if n_hot else None)
+    text_kinds = "h long, d1 long, d2 long, n long, hot boolean, piece binary"
+    text_schema = arrow_schema(text_kinds)
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list] = {}
         size = 0
 
         def flush() -> pa.RecordBatch:
-            cols = [[k[0] for k in held], [k[1] for k in held], [k[2] for k in held], [v[0] for v in held.values()], [v[1] for v in held.values()]]
+            cols = [[k[0] for k in held], [k[1] for k in held], [k[2] for k in held], [v[0] for v in held.values()], [], [v[1] for v in held.values()]]
+            cols[4] = [False] * len(held) if hot.value is None else _marked(hot.value, np.array(cols[0], dtype=np.int64)).tolist()
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, text_schema, strict=True)], schema=text_schema)
 
@@ -249,27 +270,116 @@ def verdicts(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
             judge()
         yield take()
 
-    apart = scan.mapInArrow(texts, "h long, d1 long, d2 long, n long, piece binary")
-    sorted_out = apart.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(compare, "h long, d1 long, d2 long, found binary")
+    apart = scan.mapInArrow(texts, text_kinds)
+    if n_hot:
+        apart = materialize(apart, "texts")
+    few = apart.filter("not hot").drop("hot") if n_hot else apart.drop("hot")
+    sorted_out = few.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(compare, "h long, d1 long, d2 long, found binary")
+    if n_hot:
+        sorted_out = sorted_out.unionByName(repeated_windows(apart.filter("hot"), n_hot, length))
     # Pieces of one content and no inner repeat need no sorting: two of them repeat each other in full.
     # A hash that is marked falsely is sorted as well, with the same verdict; one row per content is kept.
     plain = kinds.filter("n > 1").select("h", "d1", "d2", F.lit(None).cast("binary").alias("found"))
     verdict = plain.unionByName(sorted_out).groupBy("h", "d1", "d2").agg(F.max("found").alias("found"), F.max(F.col("found").isNull()).alias("whole"))
-    joined = places.join(verdict, ["h", "d1", "d2"]).select("rid", "start", "size", "found", "whole")
+    joined = places.join(verdict, ["h", "d1", "d2"]).select("at", "size", "found", "whole")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for start, size, found, whole in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True):
+            rids, out = [], []
+            for at, size, found, whole in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 x = np.array([0, size - 1], dtype=np.int64) if whole else np.frombuffer(found, dtype="<i4").astype(np.int64)
-                x = x + start
                 x[1::2] += length - 1
-                out.append(x.astype("<i4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, type=pa.binary())], ["rid", "runs"])
+                pairs = np.frombuffer(at, dtype="<i8").reshape(-1, 2)
+                rids.append(pairs[:, 0])
+                out += [row.tobytes() for row in (x[None, :] + pairs[:, 1:]).astype("<i4")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*rids, np.zeros(0, dtype=np.int64)])), pa.array(out, type=pa.binary())], ["rid", "runs"])
 
     return joined.mapInArrow(runs, "rid long, runs binary").groupBy("rid").agg(F.collect_list("runs").alias("runs"))
 
 
+def _windows(piece: bytes, length: int) -> np.ndarray:
+    """128-bit digests of all strings of ``length`` bytes, as rows of two 64-bit words."""
+    digest = xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([digest(piece[i : i + length]) for i in range(len(piece) - length + 1)]), dtype="<u8").reshape(-1, 2)
+
+
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of two words, and whether each occurs more than once."""
+    x = x[np.lexsort((x[:, 1], x[:, 0]))]
+    new = np.append(True, (x[1:] != x[:-1]).any(axis=1)) if len(x) else np.zeros(0, dtype=bool)
+    return x[new], np.diff(np.append(np.flatnonzero(new), len(x))) > 1
+
+
+def repeated_windows(apart: DataFrame, count: int, length: int, chunk: int = 10_000) -> DataFrame:
+    """Verdicts (``h``, ``d1``, ``d2``, ``found``) for the pieces of crowded hashes, whose strings are told apart by digests.
+
+    The distinct pieces are dealt to chunks of about ``chunk``.  A chunk's distinct digests go, packed, to buckets by their value; a bucket
+    answers every chunk which of its digests are repeated there or elsewhere.  However many pieces have a string in common, a chunk
+    names it once."""
+    spark = apart.sparkSession
+    chunks = -(-count // chunk)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count * length // 1_000_000))
+    one = apart.groupBy("h", "d1", "d2").agg(F.sum("n").alias("n"), F.min("piece").alias("piece"))
+    own = materialize(one.select(F.pmod(F.xxhash64("d1", "d2"), F.lit(chunks)).alias("chunk"), F.lit(-1).cast("long").alias("bucket"), "h", "d1", "d2", "n", "piece"), "crowded")
+    kinds = "chunk long, bucket long, found binary, again binary"
+    schema = arrow_schema(kinds)
+
+    def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+        """Sorted rows again, all of one first value at a time."""
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[0][0] != row[0]:
+                    yield held
+                    held = []
+                held.append(row)
+        if held:
+            yield held
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=f.type) for k, f in enumerate(schema)], schema=schema)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in by_key(batches):
+            found, again = _distinct(np.concatenate([np.repeat(_windows(r[2], length), 1 + (r[1] > 1), axis=0) for r in rows]))
+            at = found[:, 0] % np.uint64(buckets)
+            order = np.argsort(at, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
+                yield packed([(rows[0][0], int(at[part[0]]), found[part].tobytes(), again[part].tobytes())])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in by_key(batches):
+            each = [np.frombuffer(r[2], dtype="<u8").reshape(-1, 2) for r in rows]
+            inner = [np.frombuffer(r[3], dtype=bool) for r in rows]
+            found, again = _distinct(np.concatenate([*each, *[x[i] for x, i in zip(each, inner, strict=True)]]))
+            wanted = np.ascontiguousarray(found[again]).view("V16").ravel()
+            for r, x in zip(rows, each, strict=True):
+                hit = x[np.isin(np.ascontiguousarray(x).view("V16").ravel(), wanted)] if len(wanted) else x[:0]
+                if len(hit):
+                    yield packed([(r[1], r[0], hit.tobytes(), b"")])
+
+    asked = own.select("chunk", "n", "piece").repartition(chunks, "chunk").sortWithinPartitions("chunk").mapInArrow(ask, kinds)
+    replies = asked.select("bucket", "chunk", "found", "again").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, kinds)
+    empty = F.lit(None)
+    both = own.unionByName(replies.select("chunk", "bucket", empty.cast("long").alias("h"), empty.cast("long").alias("d1"), empty.cast("long").alias("d2"), empty.cast("long").alias("n"), F.col("found").alias("piece")))
+    verdict = "h long, d1 long, d2 long, found binary"
+    verdict_schema = arrow_schema(verdict)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in by_key(batches):
+            wanted = {r[6][i : i + 16] for r in rows if r[1] >= 0 for i in range(0, len(r[6]), 16)}
+            out = []
+            for _, bucket, h, d1, d2, _, piece in rows:
+                if bucket < 0:
+                    digests = _windows(piece, length).tobytes()
+                    flags = np.array([digests[i : i + 16] in wanted for i in range(0, len(digests), 16)], dtype=bool)
+                    if flags.any():
+                        out.append((h, d1, d2, intervals(flags).astype("<i4").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], type=f.type) for k, f in enumerate(verdict_schema)], schema=verdict_schema)
+
+    return both.repartition(chunks, "chunk").sortWithinPartitions("chunk").mapInArrow(judge, verdict)
+
+
 def merged(runs: list[bytes], n: int) -> np.ndarray:
     """Removed bytes of a text as flags."""
     edge = np.zeros(n + 1, dtype=np.int64)

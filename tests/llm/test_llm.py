@@ -357,8 +357,13 @@ def test_suffix_array():
         assert suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
 
 
-def test_suffix_dedup(docs, empty):
+@pytest.mark.parametrize("most", [256, 1])
+def test_suffix_dedup(docs, empty, monkeypatch, most):
+    monkeypatch.setattr(suffix_dedup, "HOT_KINDS", most)
     rows, df = docs
+    if most == 256:
+        rows = [*rows, *[(100 + i, t, "en", "s", 0, 1, 2, "k") for i, t in enumerate(["x" * 3000 + "y" + "x" * 2500, "Shti thly " * 900, "abcdefg" * 211 + "!"])]]
+        df = df.sparkSession.createDataFrame(rows, CLASH)
     data = [t.encode() for t in by_text(rows)]
     seen = collections.Counter(b[i : i + 200] for b in data for i in range(len(b) - 199))
     want = collections.Counter()
