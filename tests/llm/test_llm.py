@@ -181,16 +181,39 @@ def test_top_k(spark):
     rng = np.random.default_rng(6)
     v = rng.normal(size=(700, 16)).astype(np.float32)
     v[5] = v[200]
-    rows = [(i, [float(x) for x in v[i]]) for i in range(700)] + [(900, None), (901, [float("nan")] * 16), (None, [0.0] * 16), (902, [1.0, None] * 8)]
-    df = vafile.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5), "vec_id", "embedding")
-    out = vafile.top_k(df, df.filter("id % 100 = 0"), block=3).collect()
-    m = np.floor(1024 * v.astype(np.float64)).astype(np.int64)
-    for q in range(0, 700, 100):
-        s = m @ m[q]
-        want = sorted((-int(s[i]), i) for i in range(700) if i != q)[:10]
-        assert [(-r.score, r.vec_id) for r in sorted((r for r in out if r.query_id == q), key=lambda r: r["rank"])] == want
+    v[300:420] = v[300]  # one vector in a sixth of the rows
+    v[650] *= 1000
+    rows = [(i, [float(x) for x in v[i]], "x") for i in range(700)]
+    rows += [(601, rows[601][1], "again")] * 3 + [(600, [9.0] * 16, "other vector"), (300, rows[300][1], "again")]
+    bad = [(900, None, ""), (901, [float("nan")] * 16, ""), (None, [0.0] * 16, ""), (902, [1.0, None] * 8, ""), (903, [], ""), (800, [1.0, 2.0, 3.0], ""), (804, [1.0, 2.0, 4.0], "")]
+    df = vafile.integer_vectors(spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>, rid string").repartition(5), "vec_id", "embedding")
+    m = {k: [(i, np.floor(1024 * np.array(e, dtype=np.float32).astype(np.float64)).astype(np.int64)) for i, e, _ in rows + bad if i is not None and e and len(e) == k and np.isfinite(np.array(e, dtype=float)).all()] for k in (16, 3)}
+    for block in (4096, 3):
+        out = vafile.top_k(df, df.filter("id % 100 = 0"), block=block).collect()
+        want = set()
+        for some in m.values():
+            for q in {i for i, _ in some if i % 100 == 0}:
+                own = min((x for i, x in some if i == q), key=lambda x: x.tolist())
+                best = sorted((-int(x @ own), i) for i, x in some if i != q)[:10]
+                want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(best)}
+        assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in out} == want and len(out) == len(want)
     none = spark.createDataFrame([], "id long, v array<double>")
-    assert vafile.top_k(none, none).count() == 0
+    assert vafile.top_k(none, none).count() == 0 and vafile.top_k(df, df.limit(0)).count() == 0
+
+
+def test_cells_bound_all_scores_and_spare_reads(spark):
+    rng = np.random.default_rng(7)
+    for scale in (1.0, 3000.0, 1e12):
+        v, q = np.floor(rng.normal(size=(500, 24)) * scale), np.floor(rng.normal(size=(40, 24)) * scale)
+        v[:, 3] = 7.0
+        middle, radius = vafile.Chunk.of(np.arange(500), np.arange(500), v).bounds(q)
+        assert (np.abs(middle - q @ v.T) <= radius[:, None]).all()
+        packed = vafile.Chunk.unpack(*vafile.Chunk.of(np.arange(500), np.arange(500), v).pack())
+        assert (packed.bounds(q)[0] == middle).all()
+    rows = [(i, np.floor(rng.normal(size=32) * 1024).tolist()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    read = {r.query_id: r.read for r in vafile.top_k(df, df.filter("id % 100 = 0")).collect()}
+    assert len(read) == 30 and max(read.values()) < 100  # of 2,999
 
 
 def test_bpe(docs, empty):
