@@ -25,20 +25,47 @@ def latex_escape(text: Column) -> Column:
     return marked
 
 
+def unicode_escapes(text: Column) -> Column:
+    """``text`` with every character beyond Latin-1 written as ``\\uN?``, as two of them beyond 16 bits; other texts are left as they are."""
+    unit = lambda n: F.concat(F.lit("\\u"), F.when(n > 32767, n - 65536).otherwise(n).cast("string"), F.lit("?"))
+
+    def one(c: Column) -> Column:
+        n = F.ascii(c)
+        above = n - 65536
+        pair = F.concat(unit(F.shiftright(above, 10) + 0xD800), unit(above.bitwiseAND(F.lit(1023)) + 0xDC00))
+        return F.when(n < 256, c).when(n < 65536, unit(n)).otherwise(pair)
+
+    return F.when(text.rlike(r"[^\x00-\xFF]"), F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), one), "")).otherwise(text)
+
+
+def document_bytes(text: Column) -> Column:
+    """Bytes of a document kept as text: one a character, and escapes for what has no byte, so that no text fails."""
+    return F.encode(unicode_escapes(text), "ISO-8859-1")
+
+
 def rtf_encode(text: Column) -> Column:
-    """A flat RTF document that holds ``text``; line feeds become paragraphs, Latin-1 letters hex escapes."""
+    """A flat RTF document that holds ``text``; line feeds become paragraphs, Latin-1 letters hex escapes, all beyond Unicode escapes."""
     out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
     out = F.replace(F.replace(out, F.lit("{"), F.lit("\\{")), F.lit("}"), F.lit("\\}"))
     out = F.replace(F.replace(out, F.lit("\n"), F.lit("\\par ")), F.lit("\t"), F.lit("\\tab "))
     hexed = F.aggregate(F.sequence(F.lit(161), F.lit(255)), out, lambda acc, i: F.replace(acc, F.chr(i), F.concat(F.lit("\\'"), F.lower(F.hex(i)))))
-    out = F.when(F.octet_length(out) > F.char_length(out), hexed).otherwise(out)
+    out = F.when(F.octet_length(out) > F.char_length(out), unicode_escapes(hexed)).otherwise(out)
     return F.concat(F.lit("{\\rtf1\\ansi "), out, F.lit("}"))
 
 
-def from_code(code: Column) -> Column:
-    """Character of a signed 16-bit code: negative numbers count from 65536."""
-    n = F.when(code < 0, code + 65536).otherwise(code)
-    return F.decode(F.unhex(F.lpad(F.hex(n), 4, "0")), "UTF-16BE")
+def from_code(code: Column, following: Column | None = None) -> Column:
+    """Character of a signed 16-bit code: negative numbers count from 65536.  The first half of a pair needs ``following``, the next code;
+    the second half gives nothing after a first one (``following`` is then the code before).  A lone half gives U+FFFD."""
+    whole = lambda c: F.when(c < 0, c + 65536).otherwise(c)
+    wide = lambda n: F.lpad(F.hex(n.cast("long")), 4, "0")
+    n = whole(code)
+    plain = F.decode(F.unhex(wide(n)), "UTF-16BE")
+    lost = F.lit("\ufffd")
+    if following is None:
+        return F.when(n.between(0xD800, 0xDFFF) | (n > 65535) | (n < 0), lost).otherwise(plain)
+    low = whole(following)
+    pair = F.decode(F.unhex(F.concat(wide(n), wide(low))), "UTF-16BE")
+    return F.when(n.between(0xD800, 0xDBFF) & low.between(0xDC00, 0xDFFF), pair).when(n.between(0xD800, 0xDFFF) | (n > 65535) | (n < 0), lost).otherwise(plain)
 
 
 def from_byte(hex_pair: Column, charset: str = "cp1252") -> Column:
@@ -48,6 +75,30 @@ def from_byte(hex_pair: Column, charset: str = "cp1252") -> Column:
     return F.substring(F.lit(chars), code + 1, F.lit(1))
 
 
+def scan(line: Column, delimiters: str = " \t", quotes: str = "\"'", escape: str = "", collapse: bool = True) -> Column:
+    """Fields of a line by a scanner's settings: what parts fields, which quotes hold one together, the character that takes the meaning
+    of the next one, and whether runs of delimiters count once.  Quotes and escape characters are not part of the fields."""
+    cls = lambda chars: "".join(f"\\x{ord(c):02x}" for c in chars)
+    units = [rf"{cls(q)}[^{cls(q)}]*{cls(q)}" for q in quotes]
+    if escape:
+        units.insert(0, rf"(?:{cls(escape)}.)")
+    units.append(f"[^{cls(delimiters + quotes + escape)}]")
+    pattern = f"(?:{'|'.join(units)})" + ("+" if collapse else "*")
+    if collapse:
+        found = F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
+    else:  # a field follows the begin of the line and every delimiter
+        found = F.regexp_extract_all(line, F.lit(f"(?:^|[{cls(delimiters)}])({pattern})"), F.lit(1))
+    held = "|".join(f"{cls(q)}([^{cls(q)}]*){cls(q)}" for q in quotes)
+    inner = "".join(f"${k + 1}" for k in range(len(quotes)))
+    bare = lambda f: F.regexp_replace(f, held, inner) if quotes else f
+    if not escape:
+        return F.transform(found, bare)
+    mark = chr(0xE000)
+    hidden = lambda f: F.regexp_replace(f, f"{cls(escape)}(.)", mark + "$1")
+    spared = "|".join(f"(?<!{mark}){cls(q)}((?:[^{cls(q)}]|(?<={mark}){cls(q)})*)(?<!{mark}){cls(q)}" for q in quotes)
+    return F.transform(found, lambda f: F.replace(F.regexp_replace(hidden(f), spared, inner) if quotes else hidden(f), F.lit(mark), F.lit("")))
+
+
 def basename(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
@@ -103,7 +154,7 @@ def unescape(text: Column) -> Column:
 
 def scan_fields(line: Column) -> Column:
     """Fields of a line: blanks and tabs separate, runs count once, quotes hold a field together."""
-    return F.transform(F.regexp_extract_all(line, F.lit(r"""("[^"]*"|'[^']*'|[^ \t"']+)+"""), F.lit(0)), lambda f: F.regexp_replace(f, "[\"']", ""))
+    return F.transform(F.regexp_extract_all(line, F.lit(r"""("[^"]*"|'[^']*'|[^ \t"']+)+"""), F.lit(0)), lambda f: F.regexp_replace(f, "\"([^\"]*)\"|'([^']*)'", "$1$2"))
 
 
 def scan_all_fields(line: Column) -> Column:

@@ -6,6 +6,8 @@ only window operators (nesting, look-ahead) bring a document's tokens together,
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +25,11 @@ CHARACTERS = {
 def tokenize(docs: DataFrame, key: str = "doc_id", content: str = "rtf") -> DataFrame:
     """``key``, ``pos``, ``tok``, ``cls``, ``word``, ``param``; binary contents are read byte by byte as Latin-1."""
     text = F.decode(F.col(content), "ISO-8859-1") if docs.schema[content].dataType.simpleString() == "binary" else F.col(content)
-    each = docs.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).alias("pos", "tok"))
+    return _described(docs.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).alias("pos", "tok")), key)
+
+
+def _described(each: DataFrame, key: str) -> DataFrame:
+    """``key``, ``pos``, ``tok`` with class, word and parameter."""
     tok = F.col("tok")
     cls = F.when(tok.isin("{", "}"), GROUP).when(tok.startswith("\\"), CONTROL).otherwise(TEXT)
     letters = F.regexp_extract(tok, r"^\\([a-zA-Z]+)", 1)
@@ -93,29 +99,96 @@ def peek(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
     return tokens.withColumns({"next_tok": F.lead("tok").over(order), "prev_tok": F.lag("tok").over(order)})
 
 
+def skip_to_level(tokens: DataFrame, position: int, level: int, key: str = "doc_id") -> DataFrame:
+    """Tokens from the first one after ``position`` that leaves the document at ``level`` open groups or fewer."""
+    d = with_depth(tokens, key)
+    order = Window.partitionBy(key).orderBy("pos")
+    reached = F.max(((F.col("pos") > position) & (F.col("depth") <= level)).cast("int")).over(order)
+    return d.withColumn("reached", reached).filter("reached = 1").drop("reached", "depth")
+
+
+def skip_to_token(tokens: DataFrame, position: int, tok: str, key: str = "doc_id") -> DataFrame:
+    """Tokens from the first ``tok`` after ``position``."""
+    order = Window.partitionBy(key).orderBy("pos")
+    reached = F.max(((F.col("pos") > position) & (F.col("tok") == tok)).cast("int")).over(order)
+    return tokens.withColumn("reached", reached).filter("reached = 1").drop("reached")
+
+
+def unknown_groups(ranges: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Optional groups whose destination the dictionary lacks; those are to be skipped, known ones are not."""
+    return ranges.filter("optional").join(F.broadcast(dictionary.select(F.col("word").alias("destination"))), "destination", "left_anti")
+
+
+def insert(tokens: DataFrame, where: Column, texts: list[str], key: str = "doc_id") -> DataFrame:
+    """Tokens with made-up ones after every token for which ``where`` holds; positions are counted anew."""
+    made = F.transform(F.array(*[F.lit(t) for t in texts]), lambda t: t)
+    all_ = F.concat(F.array("tok"), F.when(where, made).otherwise(F.array().cast("array<string>")))
+    each = tokens.select(key, F.col("pos").alias("p"), F.posexplode(all_).alias("k", "tok"))
+    numbered = each.withColumn("pos", (F.row_number().over(Window.partitionBy(key).orderBy("p", "k")) - 1).cast("int"))
+    return _described(numbered.select(key, "pos", "tok"), key)
+
+
+def route(tokens: DataFrame, branches: dict[str, Column], other: str = "other") -> DataFrame:
+    """Tokens with ``branch``, the name of the first condition that holds."""
+    out = F.lit(other)
+    for name, condition in reversed(branches.items()):
+        out = F.when(condition, name).otherwise(out)
+    return tokens.withColumn("branch", out)
+
+
+def with_hook(tokens: DataFrame, hook: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Tokens after a caller's function, which sees every one of them."""
+    return tokens.transform(hook)
+
+
+def next_word(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Tokens with ``next_text``: the next text token that is not white space."""
+    order = Window.partitionBy(key).orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
+    solid = F.when((F.col("cls") == TEXT) & F.col("tok").rlike(r"\S"), F.trim("tok"))
+    return tokens.withColumn("next_text", F.first(solid, True).over(order))
+
+
 def is_rich_text(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
     """``key``, ``ok``: the second token is the version word, with a version of 1 or none."""
-    second = tokens.filter("pos < 2").groupBy(key).agg(F.max(F.when(F.col("pos") == 1, F.col("word"))).alias("w"), F.max(F.when(F.col("pos") == 0, F.col("tok"))).alias("t"))
-    return second.select(key, F.coalesce((F.col("w") == "rtf") & (F.col("t") == "{"), F.lit(False)).alias("ok"))
+    at = lambda k, c: F.max(F.when(F.col("pos") == k, F.col(c)))
+    second = tokens.filter("pos < 2").groupBy(key).agg(at(1, "word").alias("w"), at(1, "param").alias("v"), at(0, "tok").alias("t"))
+    return second.select(key, F.coalesce((F.col("w") == "rtf") & (F.col("t") == "{") & (F.coalesce("v", F.lit(1)) == 1), F.lit(False)).alias("ok"))
 
 
 def piece(charset: str = "cp1252") -> Column:
-    """The text a token stands for, given ``tok``, ``cls``, ``word``, ``param``."""
+    """The text a token stands for, given ``tok``, ``cls``, ``word``, ``param``, but for Unicode escapes."""
     tok, word = F.col("tok"), F.col("word")
     out = F.when(F.col("cls") == TEXT, F.regexp_replace(tok, "[\r\n]", ""))
     out = out.when(tok.startswith("\\'"), from_byte(F.substring(tok, 3, 2), charset))
-    out = out.when(tok.isin("\\{", "\\}", "\\\\"), word).when(tok == "\\~", F.lit(" ")).when(tok == "\\_", F.lit("‑"))
-    out = out.when((word == "u") & F.col("param").isNotNull(), from_code(F.col("param")))
+    out = out.when(tok.isin("\\{", "\\}", "\\\\"), word).when(tok == "\\~", F.lit("\u00a0")).when(tok == "\\_", F.lit("\u2011"))
+    out = out.when(tok.isin("\\\n", "\\\r"), F.lit("\n"))
     for w, c in CHARACTERS.items():
         out = out.when(word == w, F.lit(c))
     return out.otherwise(F.lit(""))
 
 
 def plain_text(tokens: DataFrame, key: str = "doc_id", charset: str = "cp1252") -> DataFrame:
-    """``key``, ``text`` of flat documents: the pieces of a document in order; the stand-in after a Unicode escape is skipped."""
+    """``key``, ``text`` of flat documents: the pieces of a document in order.  The stand-ins after a Unicode escape are skipped, as
+    many as the last ``\\uc`` says; a brace ends them.  Pairs of escapes make one character.  Rows of one id are one document."""
     order = Window.partitionBy(key).orderBy("pos")
-    after = F.lag("word").over(order) == "u"
-    p = tokens.select(key, "pos", F.when(after & (F.col("cls") == TEXT), F.expr("substring(tok, 2)")).when(after & F.col("tok").startswith("\\'"), F.lit("")).otherwise(piece(charset)).alias("piece"))
+    escape = (F.col("word") == "u") & F.col("param").isNotNull() & (F.col("cls") == CONTROL)
+    marked = tokens.select(key, "pos", "tok", "cls", "word", "param", escape.alias("esc"))
+    marked = marked.withColumns({
+        "uc": F.coalesce(F.last(F.when((F.col("word") == "uc") & (F.col("cls") == CONTROL), F.col("param")), True).over(order), F.lit(1)),
+        "since": F.sum(F.col("esc").cast("int")).over(order),
+        "code_before": F.last(F.when(F.col("esc"), F.col("param")), True).over(order.rowsBetween(Window.unboundedPreceding, -1)),
+        "code_after": F.first(F.when(F.col("esc"), F.col("param")), True).over(order.rowsBetween(1, Window.unboundedFollowing)),
+    })
+    plain = F.regexp_replace("tok", "[\r\n]", "")
+    size = F.when(F.col("esc"), 0).when(F.col("cls") == GROUP, 1 << 20).when(F.col("cls") == TEXT, F.char_length(plain)).when(F.col("tok").startswith("\\'"), 1).otherwise(1 << 20)
+    before = F.sum(size).over(Window.partitionBy(key, "since").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+    left = F.when(F.col("since") > 0, F.greatest(F.lit(0), F.col("uc") - F.coalesce(before, F.lit(0)))).otherwise(0)
+    whole = lambda c: F.when(c < 0, c + 65536).otherwise(c)
+    second = whole(F.col("param")).between(0xDC00, 0xDFFF) & F.coalesce(whole(F.col("code_before")).between(0xD800, 0xDBFF), F.lit(False))
+    shown = F.when(F.col("esc") & second, F.lit("")).when(F.col("esc"), from_code(F.col("param"), F.coalesce("code_after", F.lit(0))))
+    shown = shown.when((left > 0) & (F.col("cls") == TEXT), F.substring(plain, left + 1, F.char_length(plain)))
+    shown = shown.when((left > 0) & F.col("tok").startswith("\\'"), F.lit("")).otherwise(piece(charset))
+    p = marked.select(key, "pos", shown.alias("piece"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), "")
     return p.groupBy(key).agg(joined.alias("text"))
 
