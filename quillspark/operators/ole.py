@@ -6,7 +6,7 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..arrow import arrow_schema
@@ -140,9 +140,14 @@ def entries(objects: DataFrame, key: str = "obj_id", content: str = "data") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows, size = [], 0
             for obj_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = [r | {"obj_id": obj_id} for r in list_entries(data or b"")]
-                yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], type=f.type) for f in schema], schema=schema)
+                rows += [r | {"obj_id": obj_id} for r in list_entries(data or b"")]
+                size += len(data or b"")
+                if size > 1 << 24:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], type=f.type) for f in schema], schema=schema)
+                    rows, size = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], type=f.type) for f in schema], schema=schema)
 
     return objects.select(F.col(key).cast("long").alias("obj_id"), F.col(content).alias("data")).mapInArrow(run, SCHEMA)
 
@@ -152,8 +157,41 @@ def open_stream(rows: DataFrame, path: str) -> DataFrame:
     return rows.filter(F.col("path") == path)
 
 
-def write_compound(streams: dict[str, bytes]) -> bytes:
-    """A compound file with the given streams below its root; for fixtures and round trips.  Streams go to big sectors."""
+def read_at(content: Column, offset: Column, size: Column, whence: str = "start", position: Column | None = None) -> Column:
+    """Bytes of a stream from an offset counted from its ``start``, its ``end`` (backwards), or forwards or ``back`` from a position; null where the place
+    is outside of the stream."""
+    n = F.octet_length(content)
+    here = F.lit(0) if position is None else position
+    at = {"start": offset, "end": n - offset, "forward": here + offset, "back": here - offset}[whence]
+    return F.when((at >= 0) & (at <= n), F.substring(content, at.cast("int") + 1, size.cast("int")))
+
+
+def visit(rows: DataFrame, folders=None, files=None) -> DataFrame:
+    """Entries with ``visited``: what a caller's column expressions make of folders and of files."""
+    is_folder = F.col("type").isin("root", "dir")
+    return rows.withColumn("visited", F.when(is_folder, folders if folders is not None else F.lit(None).cast("string")).otherwise(files if files is not None else F.lit(None).cast("string")))
+
+
+def tree_line(name: Column, kind: Column, level: Column, size: Column) -> Column:
+    """An entry as a line of a printed tree, indented by its level."""
+    return F.concat(F.repeat(F.lit("  "), level), name, F.when(kind == "file", F.concat(F.lit(" ("), size.cast("string"), F.lit(")"))).otherwise(F.lit("/")))
+
+
+def error_code(error: Column) -> Column:
+    """A short code of an ``error``: what part of the file is broken."""
+    out = F.when(error.isNotNull(), "other")
+    for part, code in reversed(ERROR_PARTS):
+        out = F.when(error.contains(part), code).otherwise(out)
+    return out
+
+
+#: Words of the errors, and their codes.
+ERROR_PARTS = (("compound", "magic"), ("header", "header"), ("sizes", "header"), ("sector chain", "chain"), ("small chain", "small_chain"), ("directory", "directory"), ("sector", "sector"), ("is cut", "cut"))
+
+
+def write_compound(streams: dict[str, bytes], small: bool = False) -> bytes:
+    """A compound file with the given streams below its root; for fixtures and round trips.  Streams go to big sectors, or those of
+    less than 4096 bytes to small ones."""
     sectors: list[bytes] = []
     fat: list[int] = []
 
@@ -166,15 +204,27 @@ def write_compound(streams: dict[str, bytes]) -> bytes:
         return start
 
     names = sorted(streams)
-    starts = [put(streams[n].ljust(4096, b"\0")) for n in names]
+    mini, mini_fat, places_of = b"", [], {}
+    for n in names:
+        if small and 0 < len(streams[n]) < 4096:
+            count, first = -(-len(streams[n]) // 64), len(mini_fat)
+            mini += streams[n].ljust(64 * count, b"\0")
+            mini_fat += [*range(first + 1, first + count), END]
+            places_of[n] = (first, len(streams[n]))
+        else:
+            places_of[n] = (put(streams[n].ljust(4096, b"\0")), max(4096, len(streams[n])))
+    mini_start = put(mini) if mini else END
+    mini_table = put(struct.pack(f"<{len(mini_fat)}I", *mini_fat)) if mini else END
+    if mini:  # unused places of the last sector of the small chains
+        sectors[-1] = sectors[-1][: 4 * len(mini_fat) % 512 or 512].ljust(512, b"\xff")
 
     def record(name: str, kind: int, right: int, child: int, start: int, size: int) -> bytes:
         raw = name.encode("utf-16-le") + b"\0\0"
         return raw.ljust(64, b"\0") + struct.pack("<HBB3I", len(raw), kind, 1, FREE, right, child) + b"\0" * 36 + struct.pack("<3I", start, size, 0)
 
-    directory = record("Root Entry", 5, FREE, 1 if names else FREE, END, 0)
+    directory = record("Root Entry", 5, FREE, 1 if names else FREE, mini_start, len(mini))
     for k, n in enumerate(names):
-        directory += record(n, 2, k + 2 if k + 1 < len(names) else FREE, FREE, starts[k], max(4096, len(streams[n])))
+        directory += record(n, 2, k + 2 if k + 1 < len(names) else FREE, FREE, *places_of[n])
     first_dir = put(directory)
     n_fat = 1
     while (len(fat) + n_fat) * 4 > n_fat * 512:
@@ -182,6 +232,7 @@ def write_compound(streams: dict[str, bytes]) -> bytes:
     places = list(range(len(sectors), len(sectors) + n_fat))
     fat += [0xFFFFFFFD] * n_fat
     table = struct.pack(f"<{len(fat)}I", *fat).ljust(512 * n_fat, b"\xff")
-    head = MAGIC + b"\0" * 16 + struct.pack("<HHHHH", 0x3E, 3, 0xFFFE, 9, 6) + b"\0" * 10 + struct.pack("<IIIIIIII", n_fat, first_dir, 0, 4096, END, 0, END, 0)
+    n_mini = -(-len(mini_fat) * 4 // 512)
+    head = MAGIC + b"\0" * 16 + struct.pack("<HHHHH", 0x3E, 3, 0xFFFE, 9, 6) + b"\0" * 10 + struct.pack("<IIIIIIII", n_fat, first_dir, 0, 4096, mini_table, n_mini, END, 0)
     head += struct.pack("<109I", *(places + [FREE] * 109)[:109])
     return head.ljust(512, b"\0") + b"".join(sectors) + table
