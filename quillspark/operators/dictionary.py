@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..functions.text import scan_fields, unescape
+from .maps import parse_dictionary, read_lines
 
 #: Fixed values from the public RTF specification, by class of word.
 COMMON = {
@@ -33,11 +32,5 @@ def common_words(spark: SparkSession) -> DataFrame:
 
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """A dictionary file: a header row with the number of words, then major, minor and word; a wrong number is an error."""
-    lines = spark.read.text(path).filter(~F.col("value").startswith("#") & (F.trim("value") != ""))
-    fields = lines.select(scan_fields(F.col("value")).alias("f"))
-    words = fields.filter(F.size("f") >= 3).select(F.element_at("f", 1).cast("int").alias("major"), F.element_at("f", 2).cast("int").alias("minor"), unescape(F.element_at("f", -1)).alias("word"))
-    declared = fields.filter(F.size("f") == 1).select(F.element_at("f", 1).cast("int")).first()
-    if declared is not None and declared[0] != words.count():
-        raise ValueError(f"{path} declares {declared[0]} words")
-    return words.select("word", "major", "minor")
+    """A dictionary file: a line with the number of words, then major, minor and word a line; a wrong number is an error."""
+    return parse_dictionary(read_lines(spark, path))

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Style names that become LaTeX headings.
-HEADINGS = (("heading 1", "\\section{", "}"), ("heading 2", "\\subsection{", "}"), ("heading 3", "\\subsubsection{", "}"))
-MAX_STYLE_DEPTH = 16
+HEADINGS = (("heading 1", "\\section*{", "}"), ("heading 2", "\\subsection*{", "}"), ("heading 3", "\\subsubsection*{", "}"))
+MAX_STYLE_DEPTH = 256
 
 
 def decode_bytes(rows: DataFrame, content: str, charset: str, out: str = "text") -> DataFrame:
     """Rows with ``out``, the text of a binary column in a named character set, double-byte sets included."""
-    import pandas as pd
-
     codec = {"mac": "mac_roman", "cp936": "gbk"}.get(charset, charset)
 
     @F.pandas_udf("string")
@@ -48,15 +47,6 @@ def first_wins(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min_by(value, order).alias(value))
 
 
-def color_of(runs: DataFrame, colors: DataFrame) -> DataFrame:
-    """Runs with ``r``, ``g``, ``b`` of their colour number; the default colour gives nulls."""
-    return runs.join(colors.select("doc_id", F.col("num").alias("color"), "r", "g", "b"), ["doc_id", "color"], "left")
-
-
-def font_of(runs: DataFrame, fonts: DataFrame) -> DataFrame:
-    return runs.join(fonts.select("doc_id", F.col("num").alias("font"), F.col("name").alias("font_name")), ["doc_id", "font"], "left")
-
-
 def heading(style_name: Column, text: Column) -> Column:
     """The text as a LaTeX heading where the style is one, in any case; otherwise the text."""
     out = text
@@ -65,16 +55,21 @@ def heading(style_name: Column, text: Column) -> Column:
     return out
 
 
-def style_chain(styles: DataFrame, depth: int = MAX_STYLE_DEPTH) -> DataFrame:
-    """``num``, ``ancestor``, ``depth`` of every style and the styles it is based on; a cycle ends at ``depth``.
+def style_chain(styles: DataFrame, key: str = "doc_id", depth: int = MAX_STYLE_DEPTH) -> DataFrame:
+    """``key``, ``num``, ``ancestor``, ``depth`` of every style and the styles of its document that it is based on.
+
+    ``styles`` has ``key``, ``num`` and ``based_on``.  The styles of a document, at most a few hundred, are gathered to a map and every chain is
+    followed there, so nothing is joined; a cycle ends at its first repeat, a chain of more than ``depth`` steps is an error."""
+    at = F.map_from_entries(F.array_sort(F.collect_list(F.struct("num", "based_on"))))
+    documents = styles.filter(F.col("num").isNotNull()).groupBy(key, "num").agg(F.max("based_on").alias("based_on")).groupBy(key).agg(at.alias("_parents"))
+
+    def follow(chain: Column, _: Column) -> Column:
+        up = F.element_at(F.col("_parents"), F.element_at(chain, -1))
+        known = F.map_contains_key(F.col("_parents"), F.element_at(chain, -1))
+        go = known & up.isNotNull() & F.map_contains_key(F.col("_parents"), F.coalesce(up, F.lit(-1))) & ~F.array_contains(chain, F.coalesce(up, F.lit(-1)))
+        return F.when(go, F.concat(chain, F.array(up))).otherwise(chain)
 
-    ``styles`` has ``num`` and ``based_on``.  A recursive query, bounded by the depth."""
-    spark = styles.sparkSession
-    styles.select("num", "based_on").createOrReplaceTempView("_quillspark_styles")
-    return spark.sql(f"""
-        WITH RECURSIVE chain AS (
-            SELECT num, num AS ancestor, based_on, 0 AS depth FROM _quillspark_styles
-            UNION ALL
-            SELECT c.num, s.num AS ancestor, s.based_on, c.depth + 1 AS depth FROM chain c JOIN _quillspark_styles s ON c.based_on = s.num
-            WHERE c.depth < {depth} AND c.based_on <> c.num
-        ) SELECT num, ancestor, depth FROM chain""")
+    chains = documents.select(key, F.explode(F.map_keys("_parents")).alias("num"), "_parents")
+    chain = F.aggregate(F.sequence(F.lit(1), F.least(F.size("_parents"), F.lit(depth + 1))), F.array("num"), follow)
+    whole = F.when(F.size(chain) > depth + 1, F.raise_error(F.lit(f"a style chain has more than {depth} steps"))).otherwise(chain)
+    return chains.select(key, "num", F.posexplode(whole).alias("depth", "ancestor")).select(key, "num", "ancestor", "depth")
