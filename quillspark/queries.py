@@ -5,7 +5,7 @@ No table holds rich text, so most queries write their rows as rich text first an
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,27 +14,10 @@ from pyspark.sql import functions as F
 from .functions import text as fx
 from .operators import dictionary, fields, lookups, mtef, ole, state, tables, tokens
 from .plans import options, render
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(oracle: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function's name."""
-
-    def add(fn: Query) -> Query:
-        QUERIES[fn.__name__] = fn
-        if oracle is not None:
-            ORACLE[fn.__name__] = oracle
-        return fn
-
-    return add
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from .registry import ORACLE as ORACLE
+from .registry import QUERIES as QUERIES
+from .registry import query
+from .registry import table as _table
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", fx.rtf_encode(F.coalesce("text", F.lit(""))).alias("rtf"))
@@ -108,14 +91,22 @@ def text_within_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inside.filter("cls = 2").select("o_orderkey", F.col("tok").alias("text"))
 
 
-@query("SELECT o_orderkey, 3::BIGINT AS n FROM orders")
+@query("SELECT o_orderkey, '{' AS prev_tok, o_orderstatus AS tok, '}' AS next_tok FROM orders UNION ALL SELECT o_orderkey, '\\i ', o_orderpriority, '}' FROM orders")
 def look_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.peek(_orders(spark, sf_dir), "o_orderkey").filter("next_tok = '}'").groupBy("o_orderkey").agg(F.count("*").alias("n"))
+    """Text tokens between their neighbours."""
+    rtf = F.concat(F.lit("{\\rtf1{"), "o_orderstatus", F.lit("}{\\*\\i "), "o_orderpriority", F.lit("}}"))
+    t = tokens.tokenize(_table(spark, sf_dir, "orders").select("o_orderkey", rtf.alias("rtf")), "o_orderkey")
+    return tokens.peek(t, "o_orderkey").filter("cls = 2").select("o_orderkey", "prev_tok", "tok", "next_tok")
 
 
-@query("SELECT o_orderkey, 9::BIGINT AS n_runs FROM orders")
+@query("SELECT o_orderkey, (1 + 2 * (o_orderkey % 4 > 0)::INT)::BIGINT AS n_runs, greatest(2, o_orderkey % 4)::BIGINT AS longest FROM orders")
 def class_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.runs(_orders(spark, sf_dir), "cls", "o_orderkey").groupBy("o_orderkey").agg(F.count("*").alias("n_runs"))
+    """Runs of tokens of one class: braces, as many control words as the key says, braces."""
+    k = (F.col("o_orderkey") % 4).cast("int")
+    rtf = F.concat(F.lit("{{"), F.repeat(F.lit("\\b"), k), F.lit("}}"))
+    t = tokens.tokenize(_table(spark, sf_dir, "orders").select("o_orderkey", rtf.alias("rtf")), "o_orderkey")
+    runs = tokens.runs(t, "cls", "o_orderkey").groupBy("o_orderkey").agg(F.count("*").alias("n_runs"), F.max("n").alias("longest"))
+    return runs.select("o_orderkey", "n_runs", F.when(F.col("n_runs") == 1, 2).otherwise(F.col("longest")).cast("long").alias("longest"))
 
 
 @query("SELECT o_orderkey, o_orderkey % 3 <> 0 AS ok FROM orders")
@@ -124,10 +115,14 @@ def rich_text_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.is_rich_text(tokens.tokenize(_table(spark, sf_dir, "orders").select("o_orderkey", rtf.alias("rtf")), "o_orderkey"), "o_orderkey")
 
 
-@query("SELECT b::INT AS byte, chr(b::INT) AS char FROM (SELECT unnest(range(32, 127)) AS b UNION ALL SELECT unnest(range(160, 256)) AS b)")
+_CP1252 = "8364 0 8218 402 8222 8230 8224 8225 710 8240 352 8249 338 0 381 0 0 8216 8217 8220 8221 8226 8211 8212 732 8482 353 8250 339 0 382 376".split()
+
+
+@query(f"""SELECT b::INT AS byte, chr(b::INT) AS char FROM (SELECT unnest(range(32, 128)) AS b UNION ALL SELECT unnest(range(160, 256)) AS b)
+UNION ALL SELECT (127 + i)::INT, CASE c WHEN 0 THEN '' ELSE chr(c::INT) END FROM (SELECT generate_subscripts(x, 1) AS i, unnest(x) AS c FROM (SELECT [{", ".join(_CP1252)}] AS x))""")
 def charset_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = spark.range(32, 256).filter("id < 127 or id >= 160").select(F.lit("cp1252").alias("charset"), F.col("id").cast("int").alias("byte"))
-    return lookups.map_bytes(some, lookups.charset_table(spark, "cp1252")).select("byte", "char")
+    every = spark.range(32, 256).select(F.lit("cp1252").alias("charset"), F.col("id").cast("int").alias("byte"))
+    return lookups.map_bytes(every, lookups.charset_table(spark, "cp1252")).select("byte", F.coalesce("char", F.lit("")).alias("char"))
 
 
 def _escape_sql(column: str) -> str:
@@ -144,18 +139,22 @@ def latex_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", F.md5(F.encode(fx.latex_escape(F.col("text")), "UTF-8")).alias("latex_md5"))
 
 
-@query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN '\\section{' || p_name || '}' WHEN 1 THEN '\\subsection{' || p_name || '}' ELSE p_name END AS latex FROM part".replace("\\\\", "\\"))
+@query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN '\\section*{' || p_name || '}' WHEN 1 THEN '\\subsection*{' || p_name || '}' ELSE p_name END AS latex FROM part".replace("\\\\", "\\"))
 def heading_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     style = F.when(F.col("p_size") % 3 == 0, "Heading 1").when(F.col("p_size") % 3 == 1, "heading 2").otherwise("Body")
     return _table(spark, sf_dir, "part").select("p_partkey", lookups.heading(style, F.col("p_name")).alias("latex"))
 
 
-@query("""WITH RECURSIVE s AS (SELECT n_nationkey AS num, CASE WHEN n_nationkey > 0 THEN n_nationkey // 2 END AS based_on FROM nation),
-c AS (SELECT num, num AS ancestor, based_on, 0 AS depth FROM s UNION ALL SELECT c.num, s.num, s.based_on, c.depth + 1 FROM c JOIN s ON c.based_on = s.num WHERE c.depth < 16 AND c.based_on <> c.num)
-SELECT num, ancestor, depth FROM c""")
+@query("""WITH RECURSIVE s AS (SELECT d AS doc_id, n_nationkey AS num, CASE WHEN n_nationkey > 0 AND d = 0 THEN n_nationkey // 2 WHEN d = 1 THEN (n_nationkey + 1) % 5 END AS based_on FROM nation, range(3) AS r(d)),
+c AS (SELECT doc_id, num, num AS ancestor, based_on, 0 AS depth, [num] AS seen FROM s
+UNION ALL SELECT c.doc_id, c.num, s.num, s.based_on, c.depth + 1, list_append(c.seen, s.num) FROM c JOIN s ON c.doc_id = s.doc_id AND c.based_on = s.num WHERE NOT list_contains(c.seen, s.num))
+SELECT doc_id, num, ancestor, depth FROM c""")
 def style_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    styles = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("num"), F.when(F.col("n_nationkey") > 0, F.floor(F.col("n_nationkey") / 2).cast("int")).alias("based_on"))
-    return lookups.style_chain(styles)
+    """Chains within three documents: a tree, a cycle of five with tails, and no bases."""
+    n, d = F.col("n_nationkey"), F.col("doc_id")
+    based = F.when((n > 0) & (d == 0), F.floor(n / 2).cast("int")).when(d == 1, (n + 1) % 5)
+    styles = _table(spark, sf_dir, "nation").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("doc_id"), n.alias("num")).withColumn("n_nationkey", F.col("num"))
+    return lookups.style_chain(styles.select("doc_id", "num", based.alias("based_on")))
 
 
 @query(r"SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ' & ' ORDER BY l_linenumber, l_partkey) || ' \\' AS latex FROM lineitem GROUP BY l_orderkey")
@@ -182,20 +181,20 @@ def table_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = "{\\rtf1{\\fonttbl{\\f0 Times;}{\\f1 Arial;}}{\\colortbl;\\red255\\green128\\blue0;}{\\stylesheet{\\s0 Normal;}{\\s1\\sbasedon0 heading 1;}}{\\f1\\cf1 "
-    return _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit(head), "c_name", F.lit("}}")).alias("rtf"))
+    key = F.col("c_custkey")
+    head = F.concat(F.lit("{\\rtf1{\\fonttbl{\\f0 Times;}{\\f1 "), "c_mktsegment", F.lit(";}}{\\colortbl;\\red"), (key % 256).cast("string"), F.lit("\\green128\\blue"), (key % 7).cast("string"))
+    tail = F.lit(";}{\\stylesheet{\\s0 Normal;}{\\s1\\sbasedon0 heading 1;}}{\\f1\\cf1\\s1 ")
+    return _table(spark, sf_dir, "customer").select(key.alias("doc_id"), F.concat(head, tail, "c_name", F.lit("}{\\f0\\cf0 x}}")).alias("rtf"))
 
 
-@query("SELECT c_custkey AS doc_id, c_name AS text, 255::INT AS r, 128::INT AS g, 0::INT AS b FROM customer")
+@query("SELECT c_custkey AS doc_id, c_name AS text, (c_custkey % 256)::INT AS r, 128::INT AS g, (c_custkey % 7)::INT AS b FROM customer UNION ALL SELECT c_custkey, 'x', -1, -1, -1 FROM customer")
 def color_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _customers(spark, sf_dir)
-    return lookups.color_of(state.formatted_runs(docs), state.document_tables(docs).filter("kind = 'color'")).select("doc_id", "text", "r", "g", "b")
+    return state.formatted_runs(_customers(spark, sf_dir), resolve=True).select("doc_id", "text", *[F.coalesce(c, F.lit(-1)).alias(c) for c in "rgb"])
 
 
-@query("SELECT c_custkey AS doc_id, c_name AS text, 'Arial' AS font_name FROM customer")
+@query("SELECT c_custkey AS doc_id, c_name AS text, c_mktsegment AS font_name, 'heading 1' AS style_name FROM customer UNION ALL SELECT c_custkey, 'x', 'Times', 'Normal' FROM customer")
 def font_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _customers(spark, sf_dir)
-    return lookups.font_of(state.formatted_runs(docs), state.document_tables(docs).filter("kind = 'font'")).select("doc_id", "text", "font_name")
+    return state.formatted_runs(_customers(spark, sf_dir), resolve=True).select("doc_id", "text", "font_name", "style_name")
 
 
 @query("SELECT c_custkey AS doc_id, num::INT AS num, name, coalesce(based_on, -1)::INT AS based_on FROM customer, (VALUES (0, 'Normal', NULL), (1, 'heading 1', 0)) AS v(num, name, based_on)")
@@ -222,9 +221,11 @@ def footnotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.formatted_runs(_suppliers(spark, sf_dir, "{\\rtf1 a{\\footnote ", "}}")).select("doc_id", "kind", "text")
 
 
-@query("SELECT s_suppkey AS doc_id, 'a group is not closed' AS error FROM supplier")
+@query("SELECT s_suppkey AS doc_id, ['a group is not closed', 'no version word', 'text before the first group', 'text after the last group', ''][1 + s_suppkey % 5] AS error FROM supplier")
 def broken_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.formatted_runs(_suppliers(spark, sf_dir, "{\\rtf1 {", "}")).select("doc_id", "error")
+    forms = F.array(*[F.lit(x) for x in ("{\\rtf1 {%}", "{\\rtf2 %}", "%{\\rtf1 a}", "{\\rtf1 a}%", "{\\rtf1 %}")])
+    rtf = F.replace(F.element_at(forms, (1 + F.col("s_suppkey") % 5).cast("int")), F.lit("%"), F.col("s_name"))
+    return state.formatted_runs(_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), rtf.alias("rtf"))).select("doc_id", F.coalesce("error", F.lit("")).alias("error")).distinct()
 
 
 @query("SELECT s_suppkey AS doc_id, 'é' || s_name || 'Я' AS text FROM supplier")
@@ -267,9 +268,13 @@ def field_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", fields.hyperlink(link).alias("target"), fields.page_reference(ref).alias("bookmark"), fields.symbol(sym).alias("code"))
 
 
-@query(r"SELECT n_nationkey, '\frac{' || n_name || '}{' || n_regionkey || '}' AS latex FROM nation")
+@query(r"""SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN '\frac{' || replace(n_name, '_', '\_') || '}{' || n_regionkey || '}' WHEN 1 THEN '\sqrt[3]{' || replace(n_name, '_', '\_') || '}+^{2}' WHEN 2 THEN '\left[ \frac{a}{\sqrt{' || n_regionkey || '}}\right]'
+WHEN 3 THEN '\sum_{i}^{n}' || replace(n_name, '_', '\_') ELSE '' END AS latex FROM nation""")
 def equation_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "nation").select("n_nationkey", fields.equation(F.concat(F.lit("EQ \\f("), "n_name", F.lit(","), "n_regionkey", F.lit(")"))).alias("latex"))
+    forms = ("EQ \\f(#,%)", "EQ \\r(3,#)+\\s\\up8(2)", "eq \\b\\bc\\[(\\f(a;\\r(%)))", "EQ \\i\\su(i,n,#)", "EQ \\f(#,%")
+    form = F.element_at(F.array(*[F.lit(x) for x in forms]), 1 + F.col("n_nationkey") % 5)
+    given = F.replace(F.replace(form, F.lit("#"), F.col("n_name")), F.lit("%"), F.col("n_regionkey").cast("string"))
+    return _table(spark, sf_dir, "nation").select("n_nationkey", F.coalesce(fields.equation(given), F.lit("")).alias("latex"))
 
 
 @query(r"""SELECT page_id, string_split(url, '/')[-1] AS name, CASE page_id % 3 WHEN 0 THEN 'rtf' WHEN 1 THEN 'rtfd' ELSE 'unknown' END AS kind,
@@ -285,9 +290,10 @@ def relation_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "part").select("p_partkey", fields.is_relation(F.when(even, 134).otherwise(139), F.when(even, 130 + F.col("p_size")).otherwise(50 + F.col("p_size"))).alias("relation"))
 
 
-@query("SELECT event_id, md5(props) AS content_md5, 'unknown' AS kind FROM events")
+@query("SELECT event_id, md5(['GIF87a', '%PDF-1', 'x'][1 + event_id % 3] || props) AS content_md5, ['gif', 'pdf', 'unknown'][1 + event_id % 3] AS kind FROM events")
 def hex_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    written = F.regexp_replace(F.lower(F.hex(F.encode("props", "UTF-8"))), "(.{64})", "$1\n")
+    head = F.element_at(F.array(F.lit("GIF87a"), F.lit("%PDF-1"), F.lit("x")), (1 + F.col("event_id") % 3).cast("int"))
+    written = F.regexp_replace(F.lower(F.hex(F.encode(F.concat(head, "props"), "UTF-8"))), "(.{64})", "$1\n")
     data = fields.picture_bytes(written)
     return _table(spark, sf_dir, "events").select("event_id", F.md5(data).alias("content_md5"), fields.picture_type(data).alias("kind"))
 
@@ -325,8 +331,11 @@ _LATEX_HEAD = "\\documentclass{article}\n\\usepackage[utf8]{inputenc}\n\\usepack
 
 
 @query(f"""WITH l AS (SELECT doc_id, generate_subscripts(x, 1) AS i, unnest(x) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
-p AS (SELECT doc_id, i, {_escape_sql('t')} || chr(10) || chr(10) AS t FROM l WHERE t <> '')
+p AS (SELECT doc_id, i, CASE t WHEN '' THEN '' ELSE {_escape_sql('t')} || chr(10) || chr(10) END AS t FROM l)
 SELECT doc_id, md5('{_LATEX_HEAD}' || string_agg(t, '' ORDER BY i) || '\\end{{document}}' || chr(10)) AS latex_md5 FROM p GROUP BY doc_id""")
 def document_latex(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents: encoded, parsed by the state machine, rendered."""
     return render.to_latex(_documents(spark, sf_dir)).select("doc_id", F.md5(F.encode("latex", "UTF-8")).alias("latex_md5"))
+
+
+from . import queries_documents, queries_equations, queries_files  # noqa: E402, F401  (they register themselves)
