@@ -1,17 +1,21 @@
-"""Near copies by exact set similarity: two texts belong together when the Jaccard similarity of their sets of five-word
-shingles is at least ``SHARE[0] / SHARE[1]``, and a class is a connected component of such pairs.
+"""SimHash near-dedup for the pipeline: two texts belong together when the Jaccard similarity of their sets of five-word shingles is
+at least ``SHARE[0] / SHARE[1]``, and a class is a connected component of such pairs.
 
-Pairs come from prefix filtering, which loses none.  All shingles are put in one order; two sets of n and m shingles at
-similarity t have a common shingle among the first n - ceil(t * n) + 1 of the one and the like of the other.  Texts that share
-such a shingle and whose sizes allow the similarity meet in the group of the smallest of them, where the sets
-themselves are compared.  A group is never turned into all its pairs (see :func:`links_of_group`), and one of more than
-``BLOCK`` members is cut into blocks, pairs of which go to different tasks.
+SimHash proposes the pairs, by multi-index hashing.  A text's sketch of ``SEGMENTS`` segments of 32 bits is the majority of its
+word pairs' bits; every segment is a table, the text enters it at its own value and probes the small Hamming ball of values that
+differ in some of the segment's ``FLIPS`` least certain bits.  Texts that meet in a cell, and whose sizes allow the similarity, form a
+group, in which the shingle sets themselves are compared, so a pair below the similarity is never linked.  A pair at the
+similarity differs in about 9 % of the bits and meets in more than half of the segments; that it meets in none has a chance of
+about one in a thousand (a test measures it).
 
-The order puts first what only one set has.  This is known for ``TESTED`` eighths of the shingles, whose owners are counted and marked
-in a bitmap of fixed size; a false mark, like an untested shingle, costs time and never a result.
+Probes of cells that nothing has entered are left out before the shuffle; a bitmap of fixed size knows those cells, and its false
+marks cost time, never a result.  A group is never turned into all its pairs (see :func:`links_of_group`), and one of more than
+``BLOCK`` members is cut into blocks, pairs of which go to different tasks.  A cell with a share of over 1 / ``SPLIT`` of all
+entries and probes is not gathered in a task; its members go to the blocks straight from the table.
 
 Defined cases: a null text is an empty text; fewer words than a shingle has give one shingle of all words; all texts
-without words are copies of each other; rows of equal sets are one set.  Shingles and sets are named by 64-bit hashes.
+without words are copies of each other; rows of equal sets are one set.  Shingles and sets are named by 64-bit hashes.  Columns of
+any name may come along, none is reserved.
 """
 
 from __future__ import annotations
@@ -23,17 +27,19 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .common import arrow_schema, materialize, release
+from .common import arrow_schema, free_name, materialize, release
 from .components import components
-from .simhash import SEED, words_of
+from .simhash import SEED, bit_counts, more_bits, words_of
 from .suffix_dedup import _bitmap, _marked
 
 SHINGLE = 5
 SHARE = (4, 5)
-TESTED = 3
+PAIR = 2
+SEGMENTS, WIDTH, FLIPS = 8, 32, 6
 BLOCK = 512
+HOT, SPLIT = 4096, 8192
 _FACTORS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, SHINGLE + 1)], dtype=np.uint64)
 
 
@@ -48,19 +54,42 @@ class _WordHashes(dict):
 _WORDS = _WordHashes()
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """The distinct shingles of a text, as sorted hashes."""
-    words = words_of(text)
+def shingles(words: list[str], size: int) -> np.ndarray:
+    """The distinct shingles of some words, as sorted hashes."""
     if not words:
-        return np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.uint64)
     w = np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
-    size = min(SHINGLE, len(words))
+    size = min(size, len(words))
     h = np.full(len(words) - size + 1, size, dtype=np.uint64)
     for k in range(size):
         h += w[k : len(w) - size + 1 + k] * _FACTORS[k]
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return np.unique((h ^ (h >> np.uint64(31))).view(np.int64))
+    return np.unique(h ^ (h >> np.uint64(31)))
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """The distinct shingles of a text, as signed numbers in one order for all."""
+    return np.sort(shingles(words_of(text), SHINGLE).view(np.int64))
+
+
+def sketch(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Values of the segments, and the bits of each that are least certain, as one-bit masks."""
+    pairs, counts = shingles(words, PAIR), np.zeros(SEGMENTS * WIDTH, dtype=np.int64)
+    for at in range(0, len(pairs), 20_000):
+        counts += bit_counts(more_bits(pairs[at : at + 20_000], SEGMENTS * WIDTH // 64))
+    value = np.packbits(counts * 2 > len(pairs), bitorder="little").view("<u4").astype(np.int64)
+    doubt = np.argsort(np.abs(counts * 2 - len(pairs)).reshape(SEGMENTS, WIDTH), axis=1, kind="stable")[:, :FLIPS]
+    return value, np.int64(1) << doubt
+
+
+_SUBSETS = ((np.arange(1 << FLIPS)[:, None] >> np.arange(FLIPS)[None, :]) & 1).astype(np.int64)
+
+
+def cells_of(value: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Cells of a sketch, one row a segment: the entry first, then the ball around it."""
+    ball = value[:, None] ^ (masks @ _SUBSETS.T)
+    return ball | (np.arange(SEGMENTS, dtype=np.int64) << WIDTH)[:, None]
 
 
 def alike(common: np.ndarray, n: np.ndarray, m: int) -> np.ndarray:
@@ -141,26 +170,32 @@ def bounds(part: pa.Table, keys: int) -> Iterator[tuple[int, int]]:
     return zip(first[many].tolist(), end[many].tolist(), strict=True)
 
 
-def numbered_sets(docs: DataFrame) -> DataFrame:
-    """``docs`` as a table of its own with ``__rid``, a number of the row, and ``__id``, the name of its shingle set."""
-    names = ["__rid", "__id", *docs.columns]
-    place = docs.columns.index("text") + 1
+def numbered_sets(docs: DataFrame) -> tuple[DataFrame, str, str, str]:
+    """``docs`` as a table of its own with three more columns, whose names are returned: the number of the row, the name of its shingle
+    set, and its sketch (size of the set, segment values, masks)."""
+    rid, name, drawn = free_name(docs, "rid"), free_name(docs, "id"), free_name(docs, "sketch")
+    names, place = [rid, name, drawn, *docs.columns], docs.columns.index("text") + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.array([xxhash.xxh64_intdigest(shingle_set(t.as_py()).tobytes(), SEED) for t in batch.column(place)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids.view(np.int64)), *batch.columns[1:]], names)
+            ids, sketches = [], []
+            for t in batch.column(place):
+                words = words_of(t.as_py())
+                own = np.sort(shingles(words, SHINGLE).view(np.int64))
+                ids.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+                value, masks = sketch(words)
+                sketches.append(np.concatenate([[len(own)], value, masks.ravel()]).astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(ids, dtype=np.uint64).view(np.int64)), pa.array(sketches, type=pa.binary()), *batch.columns[1:]], names)
 
     rows = docs.withColumn("text", F.col("text").cast("string"))
-    schema = StructType([StructField("__rid", LongType()), StructField("__id", LongType()), *rows.schema.fields])
-    return materialize(rows.select(F.monotonically_increasing_id().alias("__rid"), *docs.columns).mapInArrow(run, schema), "numbered")
+    schema = StructType([StructField(rid, LongType()), StructField(name, LongType()), StructField(drawn, BinaryType()), *rows.schema.fields])
+    return materialize(rows.select(F.monotonically_increasing_id().alias(rid), *docs.columns).mapInArrow(run, schema), "numbered"), rid, name, drawn
 
 
 def similar_links(rows: DataFrame) -> DataFrame:
-    """Links ``a``, ``b`` between the ``__id`` of ``rows`` that connect all pairs of similar sets."""
+    """Links ``a``, ``b`` between the ``id`` of ``rows`` (``id``, ``text``, ``sketch``) that connect all proposed pairs of similar sets."""
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = rows.select("__id", "text")
 
     def sets_of(batches: Iterator[pa.RecordBatch], wanted=None) -> Iterator[tuple[int, np.ndarray]]:
         """Name and shingles of the sets of a task, a repeated one mostly once."""
@@ -186,31 +221,44 @@ def similar_links(rows: DataFrame) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names)
 
-    def owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tested = ((i, s[(s & 7) < TESTED]) for i, s in sets_of(batches))
-        yield from longs(([s, np.full(len(s), i)] for i, s in tested), ["h", "id"])
+    sketches = materialize(rows.groupBy("id").agg(F.min("sketch").alias("sketch")), "sketches")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Ids, sizes and cells (rows, segments, ball) of some sketches of texts with words."""
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype="<u4").astype(np.int64).reshape(batch.num_rows, -1)
+                some = raw[:, 0] > 0
+                ids, raw = batch.column(0).to_numpy()[some], raw[some]
+                masks = raw[:, SEGMENTS + 1 :].reshape(len(raw), SEGMENTS, FLIPS)
+                yield ids, raw[:, 0], (raw[:, 1 : SEGMENTS + 1, None] ^ (masks @ _SUBSETS.T)) | (np.arange(SEGMENTS, dtype=np.int64) << WIDTH)[None, :, None]
+
+    def mixed(cell: np.ndarray) -> np.ndarray:
+        h = cell.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (h ^ (h >> np.uint64(29))).view(np.int64)
 
-    both = texts.mapInArrow(owners, "h long, id long").groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    shared = spark.sparkContext.broadcast(_bitmap(both.filter("low <> high").select("h")))
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, cell in read(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(mixed(cell[:, :, 0].ravel()))], ["h"])
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def entries() -> Iterator[list[np.ndarray]]:
-            for i, s in sets_of(batches):
-                tested, several = (s & 7) < TESTED, _marked(shared.value, s)
-                rank = np.where(tested, np.where(several, 2, 0), 1)
-                length = len(s) - -(-SHARE[0] * len(s) // SHARE[1]) + 1
-                first = np.lexsort((s, rank))[: length if len(s) else 0]
-                cells = s[first][rank[first] > 0]  # no other set has those of rank 0
-                yield [cells, np.full(len(cells), i), np.full(len(cells), len(s))]
+    entered = spark.sparkContext.broadcast(_bitmap(sketches.select("id", "sketch").mapInArrow(entries, "h long")))
 
-        yield from longs(entries(), ["cell", "id", "n"])
+    def enter_and_probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, n, cell in read(batches):
+            wanted = _marked(entered.value, mixed(cell.ravel())).reshape(cell.shape)
+            wanted[:, :, 0] = True
+            row, _, ball = np.nonzero(wanted)
+            yield pa.RecordBatch.from_arrays([pa.array(cell[wanted]), pa.array(ids[row]), pa.array(n[row]), pa.array(ball == 0)], ["cell", "id", "n", "entry"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def groups() -> Iterator[list[np.ndarray]]:
             done: set[bytes] = set()
             for part in whole_keys(batches, 1):
-                ids, sizes = part.column(1).to_numpy(), part.column(2).to_numpy()
+                ids, sizes, entry = part.column(1).to_numpy(), part.column(2).to_numpy(), part.column(3).to_numpy(zero_copy_only=False)
                 for a, b in bounds(part, 1):
+                    if not entry[a:b].any():
+                        continue  # a false mark
                     for run in runs_of_cell(ids[a:b], sizes[a:b]):
                         run = np.sort(run)
                         name = xxhash.xxh3_128_digest(run.tobytes())
@@ -222,8 +270,13 @@ def similar_links(rows: DataFrame) -> DataFrame:
 
         yield from longs(groups(), ["grp", "id"])
 
-    cells = texts.mapInArrow(prefixes, "cell long, id long, n long").repartition(parts, "cell").sortWithinPartitions("cell")
-    groups = materialize(cells.mapInArrow(meet, "grp long, id long").distinct(), "groups")
+    cells = materialize(sketches.select("id", "sketch").mapInArrow(enter_and_probe, "cell long, id long, n long, entry boolean"), "cells")
+    counted = cells.groupBy("cell").agg(F.count("*").alias("m"), F.max("entry").alias("entry"))
+    most = max(HOT, (cells.count() or 0) // SPLIT)
+    hot = F.broadcast(materialize(counted.filter((F.col("m") > most) & F.col("entry")).select("cell", "m"), "hot"))  # at most SPLIT cells
+    cold = cells.join(hot.select("cell"), "cell", "left_anti").select("cell", "id", "n", "entry").repartition(parts, "cell").sortWithinPartitions("cell")
+    warm = cells.join(hot.select("cell"), "cell").select(F.col("cell").alias("grp"), "id")
+    groups = materialize(cold.mapInArrow(meet, "grp long, id long").unionByName(warm).distinct(), "groups")
     candidates = spark.sparkContext.broadcast(_bitmap(groups.select(F.xxhash64("id").alias("h")).distinct()))
     set_schema = arrow_schema("id long, members binary")
 
@@ -233,7 +286,7 @@ def similar_links(rows: DataFrame) -> DataFrame:
             for k in range(0, len(found), 256):
                 yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found[k : k + 256]], type=pa.int64()), pa.array([s.tobytes() for _, s in found[k : k + 256]], type=pa.binary())], schema=set_schema)
 
-    members = rows.select("__id", "text", F.xxhash64("__id").alias("h")).mapInArrow(sets, "id long, members binary").groupBy("id").agg(F.min("members").alias("members"))
+    members = rows.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(sets, "id long, members binary").groupBy("id").agg(F.min("members").alias("members"))
     blocks = groups.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("c"))
     own = F.pmod(F.xxhash64("id"), F.col("c"))
     placed = groups.join(blocks, "grp").select("grp", "id", "c", own.alias("own")).select("grp", "id", "c", "own", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("other"))
@@ -251,15 +304,18 @@ def similar_links(rows: DataFrame) -> DataFrame:
 
     meeting = placed.join(members, "id").select("grp", "block", "id", "members").repartition(parts, "grp", "block").sortWithinPartitions("grp", "block")
     links = materialize(meeting.mapInArrow(compare, "a long, b long"), "links")
-    release(groups)
+    release(groups, cells, sketches)
     return links
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` of which each class of near copies has one: that of the smallest id, nulls last."""
-    rows = numbered_sets(docs)
-    roots = components(similar_links(rows))
-    classes = rows.select("__rid", F.col("doc_id").cast("long").alias("__doc"), "__id").join(roots, F.col("__id") == F.col("node"), "left")
-    least = F.min(F.struct(F.col("__doc").isNull().alias("none"), "__doc", "__rid"))
-    first = classes.groupBy(F.coalesce("root", "__id")).agg(least.alias("x")).select(F.col("x.__rid").alias("__rid"))
-    return rows.join(first, "__rid", "left_semi").select(*docs.columns)
+    stored, rid, name, drawn = numbered_sets(docs)
+    own = stored.select(F.col(rid).alias("rid"), F.col("doc_id").cast("long").alias("doc"), F.col(name).alias("id"), "text", F.col(drawn).alias("sketch"))
+    links = similar_links(own)
+    roots = components(links)
+    classes = own.select("rid", "doc", "id").join(roots, F.col("id") == F.col("node"), "left")
+    least = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "rid"))
+    first = classes.groupBy(F.coalesce("root", "id")).agg(least.alias("x")).select(F.col("x.rid").alias(rid))
+    release(links)
+    return stored.join(first, rid, "left_semi").select(*docs.columns)

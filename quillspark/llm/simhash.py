@@ -34,6 +34,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER = {c: c + 32 for c in range(65, 91)}
 SEED = 42
 BLOCK = 4096
+SLICE = 100_000
 HOT_CELLS = 65536
 _BIT = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
 
@@ -71,10 +72,14 @@ def bit_counts(values: np.ndarray) -> np.ndarray:
     return (np.bincount(columns.ravel(), minlength=2048 * k).reshape(8 * k, 256) @ _BIT).ravel()
 
 
-def majority(values: np.ndarray) -> np.ndarray:
-    """The fingerprint: little-endian 64-bit words whose bits are set in over half of the values."""
-    bits = bit_counts(values) * 2 > len(values)
-    return np.packbits(bits, bitorder="little").view("<u8")
+def fingerprint(words: list[str], shingle: int) -> np.uint64:
+    """The 64-bit fingerprint of some words, from slices of bounded size."""
+    counts, n = np.zeros(64, dtype=np.int64), 0
+    for at in range(0, max(1, len(words) - shingle + 1), SLICE):
+        h = shingle_hashes(words[at : at + SLICE + shingle - 1], shingle)
+        counts += bit_counts(h[:, None])
+        n += len(h)
+    return np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0]
 
 
 def words_of(text: str | None) -> list[str]:
@@ -89,18 +94,17 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [majority(shingle_hashes(words_of(t.as_py()), shingle)[:, None])[0] for t in batch.column(1)]
+            fps = [fingerprint(words_of(t.as_py()), shingle) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 class Segments:
-    """Segments of the first ``64 * words`` bits of a fingerprint, and the balls around their values."""
+    """Segments of a 64-bit fingerprint, and the balls of radius one around their values."""
 
-    def __init__(self, bits: int, count: int, radius_one: bool = True, uncertain: int = 0):
-        self.width = bits // count
-        self.count, self.ball, self.uncertain = count, radius_one, uncertain
+    def __init__(self, bits: int, count: int):
+        self.width, self.count = bits // count, count
 
     def values(self, fps: np.ndarray) -> np.ndarray:
         """Value of each segment; ``fps`` has one row of 64-bit words per fingerprint."""
@@ -108,17 +112,12 @@ class Segments:
         weights = 1 << np.arange(self.width, dtype=np.int64)
         return bits.reshape(len(fps), self.count, self.width) @ weights
 
-    def cells(self, fps: np.ndarray, flips: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For every entry: row of the fingerprint, cell, whether it is the table entry (else a probe of the ball).
-
-        flips: bits that each row's ball changes in each segment (rows, segments, size); all bits if None.
-        """
+    def cells(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For every entry: row of the fingerprint, cell, whether it is the table entry (else a probe of the ball)."""
         own = self.values(fps)
         n = len(fps)
         seg = np.arange(self.count, dtype=np.int64)[None, :] << 48
-        if flips is None:
-            flips = np.broadcast_to(np.arange(self.width), (n, self.count, self.width))
-        ball = own[:, :, None] ^ (np.int64(1) << flips.astype(np.int64))
+        ball = own[:, :, None] ^ (np.int64(1) << np.arange(self.width, dtype=np.int64))[None, None, :]
         cell = np.concatenate([(own | seg)[:, :, None], ball | seg[:, :, None]], axis=2)
         rows = np.broadcast_to(np.arange(n)[:, None, None], cell.shape)
         entry = np.zeros(cell.shape, dtype=bool)
@@ -152,8 +151,7 @@ def links_of_cell(fps: np.ndarray, table_entry: np.ndarray, close) -> list[tuple
 
 
 def link(nodes: DataFrame, words: int, segments: Segments, close, block: int = BLOCK) -> DataFrame:
-    """Links ``a``, ``b`` between the ids of ``nodes`` (``id`` long, ``fp`` binary of ``words`` 64-bit words, ``flips``
-    binary or null) that connect all pairs which share a cell and are ``close``."""
+    """Links ``a``, ``b`` between the ids of ``nodes`` (``id`` long, ``fp`` binary of ``words`` 64-bit words) that connect all pairs which share a cell and are ``close``."""
     spark = nodes.sparkSession
     long_binary = arrow_schema("cell long, hot int, entry boolean, id long, fp binary")
 
@@ -180,10 +178,7 @@ def link(nodes: DataFrame, words: int, segments: Segments, close, block: int = B
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 fps, ids = unpack(batch.column(1)), batch.column(0).to_numpy(zero_copy_only=False)
-                flips = None
-                if segments.uncertain:
-                    flips = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint8).reshape(len(ids), segments.count, segments.uncertain)
-                rows, cell, entry = segments.cells(fps, flips)
+                rows, cell, entry = segments.cells(fps)
                 blocks = np.zeros(len(rows), dtype=np.int32)
                 if len(keys):
                     is_hot = np.isin(cell, keys)
@@ -232,8 +227,7 @@ def link(nodes: DataFrame, words: int, segments: Segments, close, block: int = B
         if held:
             yield runs(pa.Table.from_batches(held))
 
-    columns = ["id", "fp", "flips"] if segments.uncertain else ["id", "fp"]
-    rows = nodes.select(*columns).mapInArrow(spread, "cell long, hot int, entry boolean, id long, fp binary")
+    rows = nodes.select("id", "fp").mapInArrow(spread, "cell long, hot int, entry boolean, id long, fp binary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_rows = rows.repartition(parts, "cell", "hot").sortWithinPartitions("cell", "hot")
     return sorted_rows.mapInArrow(meet, "a long, b long")
@@ -256,55 +250,3 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = materialize(fingerprints(table(spark, sf_dir, "documents"), 3), "prints")
     out = prints.join(near_classes(prints), "fp", "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-#: Near-duplicates of the pipeline: five-word shingles at a similarity of 0.8, in 256 bits.  A similarity of 0.8 puts the
-#: angle between two fingerprints at acos(2 * 0.8 / 1.8), about 15 % of the bits; FULL_DISTANCE adds a margin of 1.3 deviations.
-FULL_SHINGLE, FULL_WORDS, FULL_DISTANCE = 5, 4, 46
-#: Cells of that search: eight segments of 20 bits of a fingerprint of word pairs; the ball flips each segment's least certain bits.
-CELL_SHINGLE, CELL_WORDS, CELL_BITS, CELL_COUNT, CELL_FLIPS = 2, 3, 160, 8, 4
-
-
-def wide_fingerprint(text: str | None) -> tuple[bytes, bytes]:
-    """Cell words and full words as bytes, and the bits to flip in each segment."""
-    words = words_of(text)
-    pairs = more_bits(shingle_hashes(words, CELL_SHINGLE), CELL_WORDS)
-    counts = bit_counts(pairs)
-    cell = np.packbits(counts * 2 > len(pairs), bitorder="little")
-    margin = np.abs(counts * 2 - len(pairs))[:CELL_BITS].reshape(CELL_COUNT, -1)
-    flips = np.argsort(margin, axis=1, kind="stable")[:, :CELL_FLIPS].astype(np.uint8)
-    full = majority(more_bits(shingle_hashes(words, FULL_SHINGLE), FULL_WORDS))
-    return cell.tobytes() + full.tobytes(), flips.tobytes()
-
-
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``rid`` (the row's number in the scan of ``docs``), ``doc_id`` and ``root``, the near-duplicate class of every row."""
-    out = "rid long, doc_id long, id long, fp binary, flips binary"
-    schema = arrow_schema(out)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = [wide_fingerprint(t.as_py()) for t in batch.column(2)]
-            ids = [xxhash.xxh64_intdigest(fp) for fp, _ in both]
-            cols = [batch.column(0), batch.column(1), pa.array(np.array(ids, dtype=np.uint64).view(np.int64)), pa.array([b[0] for b in both], type=pa.binary()), pa.array([b[1] for b in both], type=pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, schema=schema)
-
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = materialize(rows.mapInArrow(run, out), "wide")
-    nodes = materialize(prints.groupBy("id").agg(F.min("fp").alias("fp"), F.min("flips").alias("flips")), "nodes")
-
-    def close(x: np.ndarray, ys: np.ndarray) -> np.ndarray:
-        return distance(x[None, CELL_WORDS:], ys[:, CELL_WORDS:]) <= FULL_DISTANCE
-
-    segments = Segments(CELL_BITS, CELL_COUNT, uncertain=CELL_FLIPS)
-    edges = materialize(link(nodes, CELL_WORDS + FULL_WORDS, segments, close), "wide-links")
-    roots = components(edges)
-    joined = prints.select("rid", "doc_id", "id").join(roots, F.col("id") == F.col("node"), "left")
-    return joined.select("rid", "doc_id", F.coalesce("root", "id").alias("root"))
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` (a table scan) of which each near-duplicate class has one: that of the smallest id, nulls last."""
-    classes = near_duplicates(docs)
-    first = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("x")).select(F.col("x.rid").alias("__rid"))
-    return docs.withColumn("__rid", F.monotonically_increasing_id()).join(first, "__rid", "left_semi").select(*docs.columns)
