@@ -43,32 +43,36 @@ def by_text(rows):
     return [t or "" for _, t, *_ in rows]
 
 
-def test_packing(docs, empty):
+def test_packing(spark, docs, empty):
     from tokenizers import Tokenizer
 
     rows, df = docs
+    rng = random.Random(11)
+    rows = [*rows, *[(200 + k, " ".join(rng.choices(WORDS, k=n)), "en", "s", 0, 1, 2, "k") for k, n in enumerate((5000, 4095, 4096, 13000, 700))]]
+    df = spark.createDataFrame(rows, CLASH).repartition(3)
     path = tokenizer_path(packing.VOCABULARY)
     tok = Tokenizer.from_file(path)
     out = packing.pack(df, path).collect()
-    want = collections.Counter()
+    ids = {}
     for i, t in [(r[0], r[1] or "") for r in rows]:
-        want[i, len(tok.encode(t, add_special_tokens=False).ids) + 1] += 1
-    assert sum(r.length for r in out) == sum(n * c for (_, n), c in want.items())
-    fill = collections.defaultdict(list)
+        ids.setdefault(i, []).append(tok.encode(t, add_special_tokens=False).ids + [2])
+    fill, cover = collections.defaultdict(list), collections.Counter()
     for r in out:
         fill[r.sequence_id].append((r.offset, r.length))
+        (own,) = ids[r.doc_id]  # ids are told apart here
+        assert r.doc_tokens == len(own) and r.length > 0
+        assert zlib.crc32(np.array(own[r.start : r.start + r.length], dtype="<u4").tobytes()) == r.ids_crc32
+        cover.update((r.doc_id, k) for k in range(r.start, r.start + r.length))
+    assert set(cover.values()) == {1} and len(cover) == sum(len(x) for (x,) in ids.values())  # each id lies in exactly one piece
     for pieces in fill.values():
         at = 0
         for o, n in sorted(pieces):
             assert o == at
             at += n
         assert at <= 4096 and (at == 4096 or at & (at - 1) == 0)
-    one = {r[0]: r[1] or "" for r in rows}
-    for r in out:
-        if r.doc_id is not None and r.length == r.doc_tokens:
-            ids = tok.encode(one[r.doc_id], add_special_tokens=False).ids + [2]
-            assert zlib.crc32(np.array(ids, dtype="<u4").tobytes()) == r.ids_crc32
     assert packing.pack(empty, path).count() == 0
+    again = spark.createDataFrame([(5, "a b")] * 3, "doc_id long, text string")
+    assert sum(r.length for r in packing.pack(again, path).collect()) == 9  # repeated rows
 
 
 def test_sum_of_squares_choice():
@@ -476,6 +480,26 @@ def edited(words, share, rng):
         out[rng.randrange(len(out))] = f"w{rng.randrange(10**9)}"
 
 
+def test_sketches_meet(spark):
+    rng = random.Random(14)
+    missed = tried = 0
+    for _ in range(300):
+        words = [f"{rng.choice(WORDS)}{rng.randrange(30)}" for _ in range(rng.randrange(20, 300))]
+        other = edited(words, 0.8, rng)  # at 0.8 or just below
+        cells = [near_copies.cells_of(*near_copies.sketch(w)) for w in (words, other)]
+        tried += 1
+        missed += not any(set(a[:1]) & set(b) or set(b[:1]) & set(a) for a, b in zip(*[c.tolist() for c in cells], strict=True))
+    assert missed <= 0.02 * tried
+
+
+def test_long_texts_in_slices(monkeypatch):
+    words = [f"w{k % 97}" for k in range(1000)]
+    whole = simhash.fingerprint(words, 3)
+    for size in (1, 7, 500):
+        monkeypatch.setattr(simhash, "SLICE", size)
+        assert simhash.fingerprint(words, 3) == whole and simhash.fingerprint(words[:2], 3) == simhash.fingerprint(["w0", "w1"], 3)
+
+
 def test_near_copies_against_brute_force(spark, monkeypatch):
     rng = random.Random(10)
     base = [[f"{rng.choice(WORDS)}{rng.randrange(40)}" for _ in range(rng.randrange(60, 200))] for _ in range(40)]
@@ -501,9 +525,10 @@ def test_near_copies_against_brute_force(spark, monkeypatch):
                 root = [new if r == old else r for r in root]
     want = {min((i for i in range(len(texts)) if root[i] == r), key=lambda i: (rows[i][0] is None, i)) for r in set(root)}
     assert below > 100 and 40 < len(want) < len(texts) - 60
-    df = spark.createDataFrame(rows, "doc_id long, text string, rid long, id long").repartition(3)
-    for block in (512, 2):
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, rid long, id long, sketch string").repartition(3)
+    for block, hot in ((512, 4096), (2, 3)):
         monkeypatch.setattr(near_copies, "BLOCK", block)
+        monkeypatch.setattr(near_copies, "HOT", hot)
         assert {r.rid for r in near_copies.keep_one(df).collect()} == want
     assert near_copies.keep_one(df.limit(0)).count() == 0
 
@@ -539,14 +564,82 @@ def test_rows_are_named_alike_when_splits_change(spark, tmp_path):
             spark.conf.unset(name)
 
 
-def test_long_words_are_no_secrets(spark):
-    rare = ["Einungtzheitgeungverlich", "THSTTIONTIONTHINGESAT", "oneaoutionheertionen2026", "EINUNGTZHEITGEUNG20261126"]
-    mixed = ["Einungtzheitgeungverlich7", "7einungtzheitgeungverlicH", "EINUNGTZHEITGEUNGVERLI7h", "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"]
-    rows = [(i, f"see {w} here", "own/a") for i, w in enumerate(rare + mixed)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+ORDINARY = [
+    "Einungtzheitgeungverlich", "THSTTIONTIONTHINGESAT", "oneaoutionheertionen2026", "EINUNGTZHEITGEUNG20261126", "Donaudampfschifffahrtsgesellschaft1", "AbstractSingletonProxyFactoryBean2",
+    "com/Some1/Long/path/to/File", "INTERNATIONALIZATION-REQUIRED", "2026-11-26T10-00-00-Report_final", "ABCDEFABCDEFABCDEFABCDEF12",
+]
+DRAWN = ["Qx7Rt2LmZp9Kv4Bn8Wc3Yd", "a8F/k2Lq+Z0mX7vR3tYb9w==", "9233A8ECF7C5B09FE5949719B6B82BC439E9329B", "tK9_wz4-Rm2Xq7bV0nLc3Hd"]
+
+
+def test_names_and_paths_are_no_secrets(spark):
+    rows = [(i, f"see {w} here", "own/a", 7, "x") for i, w in enumerate(ORDINARY + DRAWN)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _rid long, kept string")
     out = {r.doc_id: r for r in secret_scan.scan(df).collect()}
-    texts = {r.doc_id: r.text for r in secret_scan.mask(df).collect()}
-    for i, text, _ in rows:
-        live = i >= len(rare)
-        assert out[i].n_live == live and out[i].spans == (f"live:4:{len(text) - 5}" if live else "")
-        assert texts[i] == ("see [SECRET] here" if live else text)
+    texts = {r.doc_id: r for r in secret_scan.mask(df).collect()}
+    for i, text, *_ in rows:
+        live = i >= len(ORDINARY)
+        assert out[i].n_live == live and out[i].spans == (f"live:4:{len(text) - 5}" if live else "") and out[i].owned == ("live" if live else "")
+        assert texts[i].text == ("see [SECRET] here" if live else text) and texts[i]._rid == 7
+
+
+def test_owners_decide(spark):
+    rows, want = [], {}
+    for owners, token in zip((1, 2, 3, 50), DRAWN, strict=True):
+        for o in range(owners):
+            rows.append((len(rows), f"key {token} and password: hunter2hunter{owners} end", f"o{o}/r{owners}"))
+            want[len(rows) - 1] = owners <= 2
+    rows += [(1000 + k, f"x {DRAWN[0][::-1]} y", f"one/r{k}") for k in range(5)]  # one owner, many repositories
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    for most in (1024, 3):
+        secret_scan.HOT, kept = most, secret_scan.HOT
+        try:
+            out = {r.doc_id: r for r in secret_scan.scan(df).collect()}
+        finally:
+            secret_scan.HOT = kept
+        for i, live in want.items():
+            assert ("live:" in out[i].spans) == live and out[i].n_assign == 1 and out[i].owned == ("live,live" if live else "example")
+        assert all(out[1000 + k].spans == "" and out[1000 + k].n_example == 1 for k in range(5))
+
+
+def test_masks_and_repeats_against_brute_force(spark, docs):
+    rows, df = docs
+    rows = [*rows, (70, f"a {DRAWN[1]} b", "en", "s1", 9, 1, 2, "k"), (71, f"a {DRAWN[2]} c {ORDINARY[5]}", "en", "s2", 9, 1, 2, "k"), (72, "é" * 150 + "漢" * 90 + "q", "en", "s", 0, 1, 2, "k"), (73, "ü" * 130 + "漢" * 90 + "r", "en", "s", 0, 1, 2, "k")]
+    df = spark.createDataFrame(rows, CLASH).repartition(3)
+    patterns = [(secret_scan.ASSIGN, 2, 12), (secret_scan.ACCESS, 0, 18), (secret_scan.HEX, 0, 16), (re.escape(DRAWN[1]) + "|" + DRAWN[2], 0, 20)]
+
+    def masked(text):
+        spans = sorted((m.start(), k, m.end()) for k, (p, g, n) in enumerate(patterns) for m in re.finditer(p, text) if len(m.group(g)) >= n)
+        out, at = "", 0
+        for a, _, b in spans:
+            if a >= at:
+                out += text[at:a] + "[SECRET]"
+            at = max(at, b)
+        return out + text[at:]
+
+    got = secret_scan.mask(df)
+    assert got.columns == df.columns
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    want = [(r[0], masked(r[1] or ""), *r[2:4], len(masked(r[1] or "")), *r[5:]) for r in rows]
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+
+    data = [(r[1] or "").encode() for r in rows]
+    seen = collections.Counter(b[i : i + 200] for b in data for i in range(len(b) - 199))
+    want = []
+    for r, b in zip(rows, data, strict=True):
+        gone = np.zeros(len(b), dtype=bool)
+        for i in range(len(b) - 199):
+            if seen[b[i : i + 200]] > 1:
+                gone[i : i + 200] = True
+        text = np.frombuffer(b, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
+        want.append((r[0], text, *r[2:4], len(text), *r[5:]))
+    got = suffix_dedup.without_repeats(df)
+    assert got.columns == df.columns and sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+
+
+def test_stages_on_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0
