@@ -18,7 +18,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """SimHash with exact verification: one document of each group of near copies stays."""
     return near_copies.keep_one(docs)
 
 
@@ -39,7 +39,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeats", repeats), ("secrets", secrets), ("pack", pack)]
 
-#: SQL cannot express these stages; tests hold them against plain Python.
+#: SQL cannot express these stages; tests hold each one's rows against plain Python.
 ORACLE_SQL = None
 
 
