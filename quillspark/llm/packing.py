@@ -73,9 +73,13 @@ class WordIds:
 
     def learn(self, chunks: list[str]) -> None:
         """Enter chunks that are not known yet."""
-        parts: dict[str, list[str]] = {}
+        parts: dict[str, tuple[str, ...] | list[str]] = {}
         for c in chunks:
-            if self.plain(c) and not any(t in c for t in self.special):
+            bare = c[:-1] if c[-1] in ".,;:!?" else c
+            if bare.isalpha() and (c.isascii() or self.plain(c)):  # one word, at most with a sign behind it
+                word = (bare if c.isascii() else unicodedata.normalize("NFC", bare)).lower()
+                parts[c] = (word,) if bare is c else (word, c[-1])
+            elif self.plain(c) and not any(t in c for t in self.special):
                 parts[c] = self.words.findall((c if c.isascii() else unicodedata.normalize("NFC", c)).lower())
             else:
                 self.chunks[c] = self.whole(c)
