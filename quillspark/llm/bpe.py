@@ -66,7 +66,7 @@ class RankArrayBPE:
         self.split = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)))
         self.words = regex.compile(WORDS)
         self.known: set[str] = set()
-        self.path = path
+        self.path, self.library = path, None
         self.memo: dict[str, tuple[int, str, bytes]] = {}
 
     def merge(self, ids: list[int]) -> list[int]:
@@ -129,10 +129,11 @@ class RankArrayBPE:
         return self.words.findall(text)
 
     def split_by_library(self, text: str) -> list[str]:
-        from tokenizers import Tokenizer
+        if self.library is None:  # once a worker
+            from tokenizers import Tokenizer
 
-        cut = Tokenizer.from_file(self.path).pre_tokenizer
-        return [text[a:b] for _, (a, b) in cut.pre_tokenize_str(text)]
+            self.library = Tokenizer.from_file(self.path).pre_tokenizer
+        return [text[a:b] for _, (a, b) in self.library.pre_tokenize_str(text)]
 
     def split_words(self, text: str) -> list[str]:
         if not any(t in text for t in self.special):
