@@ -18,9 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
-BITMAP_BITS = 1 << 25  # 4 MB, whatever the size of the input
+BITMAP_BITS, MOST_BITS = 1 << 25, 1 << 29  # 4 MB to 64 MB, by the number of repeated digests
 RANGES_PER_PARTITION = 4
 LOWEST = -(1 << 63)
 
@@ -75,41 +75,54 @@ def with_next(docs: DataFrame, ranges: int) -> DataFrame:
     return sent.repartition(parts, "to").withColumn("next_text", F.lead("text").over(order)).filter(~F.col("guest")).select("doc_id", "text", "next_text")
 
 
-def repeated_bitmap(hashes: DataFrame) -> DataFrame:
-    """Bitmaps over a fixed number of positions, with a bit for every digest ``h1``, ``h2`` that occurs more than once."""
-    many = hashes.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1")
-    at = F.pmod("h1", F.lit(BITMAP_BITS)) + 1
+def bitmap_bits(repeated: int) -> int:
+    """Bits for so many digests: sixteen each, between fixed bounds."""
+    return min(MOST_BITS, max(BITMAP_BITS, 1 << (16 * repeated).bit_length()))
+
+
+def repeated_bitmap(many: DataFrame, bits: int) -> DataFrame:
+    """Bitmaps over ``bits`` positions, with a bit for every digest ``h1``, ``h2`` of ``many``."""
+    at = F.pmod("h1", F.lit(bits)) + 1
     return many.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
 
 
-def may_repeat(rows: DataFrame, bitmap: DataFrame) -> DataFrame:
-    """Rows whose digest has its bit set; the bitmap has at most BITMAP_BITS bits, so it is sent to all tasks."""
-    at = F.pmod("h1", F.lit(BITMAP_BITS)) + 1
+def may_repeat(rows: DataFrame, bitmap: DataFrame, bits: int) -> DataFrame:
+    """Rows whose digest has its bit set; the bitmap has at most MOST_BITS bits, so it is sent to all tasks."""
+    at = F.pmod("h1", F.lit(bits)) + 1
     joined = rows.withColumn("bucket", F.bitmap_bucket_number(at)).withColumn("bit", F.bitmap_bit_position(at)).join(F.broadcast(bitmap), "bucket")
     set_ = "(shiftright(cast(conv(hex(substring(bits, cast(bit div 8 as int) + 1, 1)), 16, 10) as int), cast(bit % 8 as int)) & 1) = 1"
     return joined.filter(set_).drop("bucket", "bit", "bits")
 
 
 def exact_digests(docs: DataFrame, bits: int = 64) -> DataFrame:
-    """One row per document with the digests of its text and of its edited text; columns as in the contract."""
+    """One row per document with the digests of its text and of its edited text; columns as in the contract.
+
+    Canonical forms are made once and stored with their digests; only those of repeated digests are read again."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = with_next(docs, RANGES_PER_PARTITION * parts)
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
-    full = pairs.select("doc_id", n.cast("long").alias("n_chars"), "text", "next_text", edited.alias("edited"))
-    full = full.withColumns({"canon": canonical(F.col("text")), "edited_canon": canonical(F.col("edited")), "next_canon": canonical(F.col("next_text"))})
+    full = pairs.select("doc_id", n.cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"), canonical(F.col("text")).alias("canon"), canonical(edited).alias("edited_canon"), canonical(F.col("next_text")).alias("next_canon"))
     (h1, h2), (e1, e2) = wide_hash(F.col("canon"), bits), wide_hash(F.col("edited_canon"), bits)
+    near = lambda other: (F.col("canon") == F.col(other)).cast("double")
+    stored = materialize(
+        full.select(
+            "doc_id", "n_chars", "edited_sha256", h1.alias("h1"), h2.alias("h2"), e1.alias("e1"), e2.alias("e2"), F.sha2("canon", 256).alias("long1"), F.sha2("edited_canon", 256).alias("long2"),
+            near("edited_canon").alias("near_edited"), near("next_canon").alias("near_next"), "canon", "edited_canon",
+        ),
+        "canonical",
+    )
 
-    both = full.select(F.explode(F.array(F.struct(h1.alias("h1"), h2.alias("h2"), F.col("canon").alias("canon")), F.struct(e1.alias("h1"), e2.alias("h2"), F.col("edited_canon").alias("canon")))).alias("x")).select("x.*")
-    compared = may_repeat(both, repeated_bitmap(both.select("h1", "h2"))).groupBy("h1", "h2", "canon").agg(F.lit(1).alias("one"))
+    own, other = F.struct("h1", "h2", "canon"), F.struct(F.col("e1").alias("h1"), F.col("e2").alias("h2"), F.col("edited_canon").alias("canon"))
+    digests = stored.select(F.explode(F.array(F.struct("h1", "h2"), F.struct(F.col("e1").alias("h1"), F.col("e2").alias("h2")))).alias("x")).select("x.*")
+    many = materialize(digests.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2"), "repeated")
+    size = bitmap_bits(many.count())
+    both = stored.select(F.explode(F.array(own, other)).alias("x")).select("x.*")
+    compared = may_repeat(both, repeated_bitmap(many, size), size).groupBy("h1", "h2", "canon").agg(F.lit(1).alias("one"))
     mixed = compared.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2", F.lit(True).alias("mixed"))
 
-    rows = full.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), h1.alias("h1"), h2.alias("h2"), e1.alias("e1"), e2.alias("e2"),
-        F.sha2("canon", 256).alias("long1"), F.sha2("edited_canon", 256).alias("long2"),
-        (F.col("canon") == F.col("edited_canon")).cast("double").alias("near_edited"), (F.col("canon") == F.col("next_canon")).cast("double").alias("near_next"),
-    )
+    rows = stored.drop("canon", "edited_canon")
     rows = rows.join(mixed, ["h1", "h2"], "left").join(mixed.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("mixed").alias("edited_mixed")), ["e1", "e2"], "left")
     name = lambda a, b, mix, long: F.concat(F.lpad(F.lower(F.hex(a)), 16, "0"), F.lpad(F.lower(F.hex(b)), 16, "0"), F.when(mix, F.concat(F.lit("-"), long)).otherwise(F.lit("")))
     return rows.select("doc_id", "n_chars", "edited_sha256", name("h1", "h2", F.col("mixed"), F.col("long1")).alias("fingerprint"), name("e1", "e2", F.col("edited_mixed"), F.col("long2")).alias("edited_fingerprint"), "near_edited", "near_next")
