@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,8 +27,11 @@ def latex_escape(text: Column) -> Column:
     return marked
 
 
+WIDE = r"[^\x00-\xFF]"
+
+
 def unicode_escapes(text: Column) -> Column:
-    """``text`` with every character beyond Latin-1 written as ``\\uN?``, as two of them beyond 16 bits; other texts are left as they are."""
+    """``text`` with every character beyond Latin-1 written as ``\\uN?``, as two of them beyond 16 bits."""
     unit = lambda n: F.concat(F.lit("\\u"), F.when(n > 32767, n - 65536).otherwise(n).cast("string"), F.lit("?"))
 
     def one(c: Column) -> Column:
@@ -35,12 +40,18 @@ def unicode_escapes(text: Column) -> Column:
         pair = F.concat(unit(F.shiftright(above, 10) + 0xD800), unit(above.bitwiseAND(F.lit(1023)) + 0xDC00))
         return F.when(n < 256, c).when(n < 65536, unit(n)).otherwise(pair)
 
-    return F.when(text.rlike(r"[^\x00-\xFF]"), F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), one), "")).otherwise(text)
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), one), "")
 
 
-def document_bytes(text: Column) -> Column:
-    """Bytes of a document kept as text: one a character, and escapes for what has no byte, so that no text fails."""
-    return F.encode(unicode_escapes(text), "ISO-8859-1")
+def bytes_of(content: str | bytes | None) -> bytes:
+    """A document as bytes: of one kept as text one a character, and escapes for what has no byte, so that no text fails."""
+    if content is None or isinstance(content, (bytes, bytearray)):
+        return bytes(content or b"")
+    try:
+        return content.encode("latin-1")
+    except UnicodeEncodeError:
+        units = lambda c: memoryview(c.encode("utf-16-le", "surrogatepass")).cast("H")
+        return re.sub(WIDE, lambda m: "".join(f"\\u{n - 65536 if n > 32767 else n}?" for n in units(m[0])), content).encode("latin-1")
 
 
 def rtf_encode(text: Column) -> Column:
@@ -48,8 +59,9 @@ def rtf_encode(text: Column) -> Column:
     out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
     out = F.replace(F.replace(out, F.lit("{"), F.lit("\\{")), F.lit("}"), F.lit("\\}"))
     out = F.replace(F.replace(out, F.lit("\n"), F.lit("\\par ")), F.lit("\t"), F.lit("\\tab "))
-    hexed = F.aggregate(F.sequence(F.lit(161), F.lit(255)), out, lambda acc, i: F.replace(acc, F.chr(i), F.concat(F.lit("\\'"), F.lower(F.hex(i)))))
-    out = F.when(F.octet_length(out) > F.char_length(out), unicode_escapes(hexed)).otherwise(out)
+    letters = F.array_distinct(F.regexp_extract_all(text, F.lit("[\\xA1-\\xFF]"), F.lit(0)))  # few in any one text
+    hexed = F.aggregate(letters, out, lambda acc, c: F.replace(acc, c, F.concat(F.lit("\\'"), F.lower(F.hex(F.ascii(c))))))
+    out = F.when(text.rlike(WIDE), unicode_escapes(hexed)).when(F.octet_length(text) > F.char_length(text), hexed).otherwise(out)
     return F.concat(F.lit("{\\rtf1\\ansi "), out, F.lit("}"))
 
 

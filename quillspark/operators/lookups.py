@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..joins import small
+
 #: Style names that become LaTeX headings.
 HEADINGS = (("heading 1", "\\section*{", "}"), ("heading 2", "\\subsection*{", "}"), ("heading 3", "\\subsubsection*{", "}"))
 MAX_STYLE_DEPTH = 256
@@ -35,8 +37,8 @@ def charset_table(spark: SparkSession, charset: str) -> DataFrame:
 
 
 def map_bytes(bytes_: DataFrame, table: DataFrame) -> DataFrame:
-    """Rows with ``charset`` and ``byte`` and their ``char``, by a broadcast lookup of at most 256 rows a set."""
-    return bytes_.join(F.broadcast(table), ["charset", "byte"], "left")
+    """Rows with ``charset`` and ``byte`` and their ``char``, by a lookup of at most 256 rows a set."""
+    return bytes_.join(small(table), ["charset", "byte"], "left")
 
 
 def last_wins(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import from_code, scan_fields, unescape
+from ..joins import small
 
 STYLES_AT_MOST = 255
 
@@ -79,7 +80,7 @@ def style_map(lines: DataFrame) -> DataFrame:
 
 def to_output(bytes_: DataFrame, charset: DataFrame, output: DataFrame, missing: str = "") -> DataFrame:
     """Rows with ``byte``, and ``name`` and ``sequence``: byte to standard name to output, two lookups of a few hundred rows each."""
-    named = bytes_.join(F.broadcast(charset), "byte", "left").join(F.broadcast(output), "name", "left")
+    named = bytes_.join(small(charset), "byte", "left").join(small(output), "name", "left")
     return named.withColumn("sequence", F.coalesce("sequence", F.lit(missing)))
 
 

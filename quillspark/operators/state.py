@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import document_bytes
+from ..functions.text import bytes_of
 from .fields import equation_latex
 from .mtef import SYMBOL_LETTERS, SYMBOL_SIGNS
 from .ole import MAGIC
@@ -380,11 +380,10 @@ def parsed(docs: DataFrame, key: str, content: str, schema: str, rows_of) -> Dat
         for batch in batches:
             out = []
             for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                out += [r | {"doc_id": doc_id} for r in rows_of(Machine(data or b"").run())]
+                out += [r | {"doc_id": doc_id} for r in rows_of(Machine(bytes_of(data)).run())]
             yield pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in out], type=f.type) for f in arrow], schema=arrow)
 
-    data = F.col(content) if docs.schema[content].dataType.simpleString() == "binary" else document_bytes(F.col(content))
-    return docs.select(F.col(key).cast("long").alias("doc_id"), data.alias("rtf")).mapInArrow(run, schema)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(content).alias("rtf")).mapInArrow(run, schema)
 
 
 def formatted_runs(docs: DataFrame, key: str = "doc_id", content: str = "rtf", resolve: bool = False) -> DataFrame:

@@ -16,15 +16,10 @@ def number_cells(cells: DataFrame, table: str, row: str, order: str) -> DataFram
     })
 
 
-def boundaries(cells: DataFrame, table: str = "table_id", right: str = "right") -> DataFrame:
-    """``table_id``, ``right``, ``boundary``: the distinct right edges of a table in order."""
-    edges = cells.select(table, right).distinct()
-    return edges.withColumn("boundary", (F.row_number().over(Window.partitionBy(table).orderBy(right)) - 1).cast("int"))
-
-
 def spans(cells: DataFrame, table: str = "table_id", row: str = "row", right: str = "right") -> DataFrame:
-    """Cells with ``col_span``: how many column boundaries of the table each one crosses."""
-    numbered = cells.join(boundaries(cells, table, right), [table, right])
+    """Cells with ``boundary``, the number of their right edge among the distinct ones of the table, and ``col_span``: how many column boundaries
+    each one crosses.  One shuffle by table."""
+    numbered = cells.withColumn("boundary", (F.dense_rank().over(Window.partitionBy(table).orderBy(right)) - 1).cast("int"))
     left = F.lag("boundary").over(Window.partitionBy(table, row).orderBy(right))
     return numbered.withColumn("col_span", (F.col("boundary") - F.coalesce(left, F.lit(-1))).cast("int"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import from_byte, from_code
+from ..joins import small
 
 PATTERN = r"\\[a-zA-Z]+-?[0-9]* ?|\\'[0-9a-fA-F]{2}|\\[^a-zA-Z]|[{}]|[^\\{}]+|\\"
 GROUP, TEXT, CONTROL = 1, 2, 3
@@ -39,14 +40,14 @@ def _described(each: DataFrame, key: str) -> DataFrame:
 
 
 def classify(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Tokens with ``major`` and ``minor`` of their word; nulls where the dictionary lacks it.  A dictionary has hundreds of rows."""
-    return tokens.join(F.broadcast(dictionary), "word", "left")
+    """Tokens with ``major`` and ``minor`` of their word; nulls where the dictionary lacks it."""
+    return tokens.join(small(dictionary), "word", "left")
 
 
 def unknown(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Control words that the dictionary lacks."""
     words = tokens.filter((F.col("cls") == CONTROL) & F.col("word").rlike("^[a-zA-Z]+$"))
-    return words.join(F.broadcast(dictionary), "word", "left_anti")
+    return words.join(small(dictionary), "word", "left_anti")
 
 
 def with_depth(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -116,7 +117,7 @@ def skip_to_token(tokens: DataFrame, position: int, tok: str, key: str = "doc_id
 
 def unknown_groups(ranges: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Optional groups whose destination the dictionary lacks; those are to be skipped, known ones are not."""
-    return ranges.filter("optional").join(F.broadcast(dictionary.select(F.col("word").alias("destination"))), "destination", "left_anti")
+    return ranges.filter("optional").join(small(dictionary.select(F.col("word").alias("destination"))), "destination", "left_anti")
 
 
 def insert(tokens: DataFrame, where: Column, texts: list[str], key: str = "doc_id") -> DataFrame:
@@ -193,6 +194,28 @@ def plain_text(tokens: DataFrame, key: str = "doc_id", charset: str = "cp1252")
     return p.groupBy(key).agg(joined.alias("text"))
 
 
+def _piece_of(tok: Column, charset: str) -> Column:
+    """:func:`piece` of a bare token, for use within an array."""
+    named = F.create_map(*[F.lit(x) for pair in CHARACTERS.items() for x in pair])
+    word = F.regexp_extract(tok, r"^\\([a-zA-Z]+)", 1)
+    control = F.when(tok.startswith("\\'"), from_byte(F.substring(tok, 3, 2), charset)).when(tok.isin("\\{", "\\}", "\\\\"), F.substring(tok, 2, 1))
+    control = control.when(tok == "\\~", F.lit("\u00a0")).when(tok == "\\_", F.lit("\u2011")).when(tok.isin("\\\n", "\\\r"), F.lit("\n")).otherwise(F.coalesce(F.element_at(named, word), F.lit("")))
+    return F.when(tok.startswith("\\"), control).when(tok.isin("{", "}"), F.lit("")).otherwise(F.translate(tok, "\r\n", ""))
+
+
+def document_text(docs: DataFrame, key: str = "doc_id", content: str = "rtf", charset: str = "cp1252") -> DataFrame:
+    """``key``, ``text`` of flat documents, one row a row.  A document without Unicode escapes is decoded in place, token by token, and not
+    shuffled; only the others take the way of :func:`plain_text`, a null document gives an empty text."""
+    text = F.decode(F.col(content), "ISO-8859-1") if docs.schema[content].dataType.simpleString() == "binary" else F.col(content)
+    rows = docs.select(key, F.coalesce(text, F.lit("")).alias("rtf"), F.monotonically_increasing_id().alias("row"))  # the number keeps the filters above what makes the text
+    plain = ~F.col("rtf").rlike(r"\\u-?[0-9]")
+    found = F.regexp_extract_all("rtf", F.lit(PATTERN), F.lit(0))
+    here = rows.filter(plain).select(key, F.array_join(F.transform(found, lambda t: _piece_of(t, charset)), "").alias("text"))
+    with_key = rows.filter(~plain).select(F.struct(key, "row").alias("at"), "rtf")
+    rest = plain_text(tokenize(with_key, "at"), "at", charset)
+    return here.unionByName(rest.select(F.col(f"at.{key}").alias(key), "text"))
+
+
 def runs(tokens: DataFrame, column: str, key: str = "doc_id") -> DataFrame:
     """Runs of equal ``column``: ``key``, ``run``, ``first_pos``, ``last_pos``, the value and ``n``."""
     order = Window.partitionBy(key).orderBy("pos")

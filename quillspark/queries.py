@@ -30,7 +30,7 @@ _TOKENS = rf"""(SELECT doc_id, unnest(regexp_extract_all({_ENCODED}, '\\[a-zA-Z]
 @query("SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents")
 def rtf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode, tokenize and decode every document."""
-    back = tokens.plain_text(tokens.tokenize(_documents(spark, sf_dir)))
+    back = tokens.document_text(_documents(spark, sf_dir))
     return back.select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
 
 

@@ -43,7 +43,7 @@ _WIDE_SQL = f"SELECT doc_id, md5({literal(_WIDE)} || translate(coalesce(text, ''
 def unicode_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with characters of every width, encoded, tokenized and decoded."""
     rtf = _wide(spark, sf_dir).select("doc_id", fx.rtf_encode(F.col("text")).alias("rtf"))
-    return tokens.plain_text(tokens.tokenize(rtf)).select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
+    return tokens.document_text(rtf).select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
 
 
 @query(_WIDE_SQL)

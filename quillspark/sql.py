@@ -11,20 +11,12 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
+from .functions.text import bytes_of
 from .operators import mtef, ole, state, tokens
 
 _TOKEN = re.compile(tokens.PATTERN, re.S)
 
 
-def _bytes(content: str | bytes | None) -> bytes:
-    """A document as bytes; characters that have none become escapes."""
-    if content is None or isinstance(content, (bytes, bytearray)):
-        return bytes(content or b"")
-    units = lambda c: [int.from_bytes(c.encode("utf-16-le", "surrogatepass")[i : i + 2], "little") for i in range(0, len(c.encode("utf-16-le", "surrogatepass")), 2)]
-    escape = lambda m: "".join(f"\\u{n - 65536 if n > 32767 else n}?" for n in units(m[0]))
-    return re.sub(r"[^\x00-\xff]", escape, content).encode("latin-1")
-
-
 class RtfTokens:
     def eval(self, rtf: str) -> Iterator[tuple]:
         for k, m in enumerate(_TOKEN.finditer(rtf or "")):
@@ -34,20 +26,20 @@ class RtfTokens:
 
 class RtfRuns:
     def eval(self, rtf: str) -> Iterator[tuple]:
-        m = state.Machine(_bytes(rtf)).run()
+        m = state.Machine(bytes_of(rtf)).run()
         for k, r in enumerate(m.rows):
             yield k, r["par"], r["kind"], r["text"], r["bold"], r["italic"], r["underline"], r["align"], r["target"], m.error
 
 
 class RtfCells:
     def eval(self, rtf: str) -> Iterator[tuple]:
-        for c in state.Machine(_bytes(rtf)).run().tables():
+        for c in state.Machine(bytes_of(rtf)).run().tables():
             yield c["tab"], c["tab_row"], c["tab_cell"], c["col_span"], c["text"]
 
 
 class RtfPictures:
     def eval(self, rtf: str) -> Iterator[tuple]:
-        for k, p in enumerate(state.Machine(_bytes(rtf)).run().pictures):
+        for k, p in enumerate(state.Machine(bytes_of(rtf)).run().pictures):
             yield k, p["kind"], state.hex_bytes(p["hex"])
 
 
