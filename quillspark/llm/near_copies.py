@@ -8,6 +8,9 @@ group, in which the shingle sets themselves are compared, so a pair below the si
 similarity differs in about 9 % of the bits and meets in more than half of the segments; that it meets in none has a chance of
 about one in a thousand (a test measures it).
 
+Texts that share a cell by their own values are compared first; what that connects is one class, and cells that then hold a single
+class are left out of the second round, that of the probes.  So a large group of copies is not met again in every cell around it.
+
 Probes of cells that nothing has entered are left out before the shuffle; a bitmap of fixed size knows those cells, and its false
 marks cost time, never a result.  A group is never turned into all its pairs (see :func:`links_of_group`), and one of more than
 ``BLOCK`` members is cut into blocks, pairs of which go to different tasks.  A cell with a share of over 1 / ``SPLIT`` of all
@@ -223,42 +226,47 @@ def similar_links(rows: DataFrame) -> DataFrame:
 
     sketches = materialize(rows.groupBy("id").agg(F.min("sketch").alias("sketch")), "sketches")
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Ids, sizes and cells (rows, segments, ball) of some sketches of texts with words."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Ids, sizes, classes and cells (rows, segments, ball) of some sketches of texts with words."""
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype="<u4").astype(np.int64).reshape(batch.num_rows, -1)
                 some = raw[:, 0] > 0
-                ids, raw = batch.column(0).to_numpy()[some], raw[some]
+                ids, cls, raw = batch.column(0).to_numpy()[some], batch.column(2).to_numpy()[some], raw[some]
                 masks = raw[:, SEGMENTS + 1 :].reshape(len(raw), SEGMENTS, FLIPS)
-                yield ids, raw[:, 0], (raw[:, 1 : SEGMENTS + 1, None] ^ (masks @ _SUBSETS.T)) | (np.arange(SEGMENTS, dtype=np.int64) << WIDTH)[None, :, None]
+                yield ids, raw[:, 0], cls, (raw[:, 1 : SEGMENTS + 1, None] ^ (masks @ _SUBSETS.T)) | (np.arange(SEGMENTS, dtype=np.int64) << WIDTH)[None, :, None]
 
     def mixed(cell: np.ndarray) -> np.ndarray:
         h = cell.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         return (h ^ (h >> np.uint64(29))).view(np.int64)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, cell in read(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(mixed(cell[:, :, 0].ravel()))], ["h"])
+        for ids, n, cls, cell in read(batches):
+            own = cell[:, :, 0]
+            each = [np.repeat(x, own.shape[1]) for x in (ids, n, cls)]
+            yield pa.RecordBatch.from_arrays([pa.array(own.ravel()), *map(pa.array, each), pa.array(np.ones(own.size, dtype=bool)), pa.array(mixed(own.ravel()))], ["cell", "id", "n", "cls", "entry", "h"])
 
-    entered = spark.sparkContext.broadcast(_bitmap(sketches.select("id", "sketch").mapInArrow(entries, "h long")))
+    cell_kinds = "cell long, id long, n long, cls long, entry boolean"
+    first = sketches.select("id", "sketch", F.col("id").alias("cls"))
+    own_cells = materialize(first.mapInArrow(entries, f"{cell_kinds}, h long"), "entries")
+    entered = spark.sparkContext.broadcast(_bitmap(own_cells.select("h")))
 
     def enter_and_probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, n, cell in read(batches):
+        for ids, n, cls, cell in read(batches):
             wanted = _marked(entered.value, mixed(cell.ravel())).reshape(cell.shape)
             wanted[:, :, 0] = True
             row, _, ball = np.nonzero(wanted)
-            yield pa.RecordBatch.from_arrays([pa.array(cell[wanted]), pa.array(ids[row]), pa.array(n[row]), pa.array(ball == 0)], ["cell", "id", "n", "entry"])
+            yield pa.RecordBatch.from_arrays([pa.array(cell[wanted]), pa.array(ids[row]), pa.array(n[row]), pa.array(cls[row]), pa.array(ball == 0)], ["cell", "id", "n", "cls", "entry"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def groups() -> Iterator[list[np.ndarray]]:
             done: set[bytes] = set()
             for part in whole_keys(batches, 1):
-                ids, sizes, entry = part.column(1).to_numpy(), part.column(2).to_numpy(), part.column(3).to_numpy(zero_copy_only=False)
+                ids, sizes, cls, entry = part.column(1).to_numpy(), part.column(2).to_numpy(), part.column(3).to_numpy(), part.column(4).to_numpy(zero_copy_only=False)
                 for a, b in bounds(part, 1):
-                    if not entry[a:b].any():
-                        continue  # a false mark
+                    if not entry[a:b].any() or (cls[a:b] == cls[a]).all():
+                        continue  # a false mark, or a single class
                     for run in runs_of_cell(ids[a:b], sizes[a:b]):
                         run = np.sort(run)
                         name = xxhash.xxh3_128_digest(run.tobytes())
@@ -270,28 +278,28 @@ def similar_links(rows: DataFrame) -> DataFrame:
 
         yield from longs(groups(), ["grp", "id"])
 
-    cells = materialize(sketches.select("id", "sketch").mapInArrow(enter_and_probe, "cell long, id long, n long, entry boolean"), "cells")
-    counted = cells.groupBy("cell").agg(F.count("*").alias("m"), F.max("entry").alias("entry"))
-    most = max(HOT, (cells.count() or 0) // SPLIT)
-    hot = F.broadcast(materialize(counted.filter((F.col("m") > most) & F.col("entry")).select("cell", "m"), "hot"))  # at most SPLIT cells
-    cold = cells.join(hot.select("cell"), "cell", "left_anti").select("cell", "id", "n", "entry").repartition(parts, "cell").sortWithinPartitions("cell")
-    warm = cells.join(hot.select("cell"), "cell").select(F.col("cell").alias("grp"), "id")
-    groups = materialize(cold.mapInArrow(meet, "grp long, id long").unionByName(warm).distinct(), "groups")
-    candidates = spark.sparkContext.broadcast(_bitmap(groups.select(F.xxhash64("id").alias("h")).distinct()))
+    def groups_of(cells: DataFrame) -> DataFrame:
+        """``grp``, ``id``: members that meet in some cell of several classes."""
+        counted = cells.groupBy("cell").agg(F.count("*").alias("m"), F.max("entry").alias("entry"), F.min("cls").alias("low"), F.max("cls").alias("high"))
+        most = max(HOT, cells.count() // SPLIT)
+        hot = F.broadcast(materialize(counted.filter((F.col("m") > most) & F.col("entry")).select("cell", (F.col("low") < F.col("high")).alias("mixed")), "hot"))  # at most SPLIT cells
+        cold = cells.join(hot.select("cell"), "cell", "left_anti").select("cell", "id", "n", "cls", "entry").repartition(parts, "cell").sortWithinPartitions("cell")
+        warm = cells.join(hot.filter("mixed"), "cell").select(F.col("cell").alias("grp"), "id")
+        return materialize(cold.mapInArrow(meet, "grp long, id long").unionByName(warm).distinct(), "groups")
+
     set_schema = arrow_schema("id long, members binary")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = list(sets_of([batch], lambda _, b=batch: _marked(candidates.value, b.column(2).to_numpy())))
-            for k in range(0, len(found), 256):
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found[k : k + 256]], type=pa.int64()), pa.array([s.tobytes() for _, s in found[k : k + 256]], type=pa.binary())], schema=set_schema)
+    def members_of(groups: DataFrame) -> DataFrame:
+        """``id``, ``members``: the shingle sets that the groups need."""
+        marks = spark.sparkContext.broadcast(_bitmap(groups.select(F.xxhash64("id").alias("h")).distinct()))
+
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = list(sets_of([batch], lambda _, b=batch: _marked(marks.value, b.column(2).to_numpy())))
+                for k in range(0, len(found), 256):
+                    yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found[k : k + 256]], type=pa.int64()), pa.array([s.tobytes() for _, s in found[k : k + 256]], type=pa.binary())], schema=set_schema)
 
-    members = rows.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(sets, "id long, members binary").groupBy("id").agg(F.min("members").alias("members"))
-    blocks = groups.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("c"))
-    own = F.pmod(F.xxhash64("id"), F.col("c"))
-    placed = groups.join(blocks, "grp").select("grp", "id", "c", own.alias("own")).select("grp", "id", "c", "own", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("other"))
-    # blocks i <= j of a group meet in one task; every member goes to all tasks of its block
-    placed = placed.select("grp", (F.least("own", "other") * F.col("c") + F.greatest("own", "other")).cast("long").alias("block"), "id")
+        return rows.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(sets, "id long, members binary").groupBy("id").agg(F.min("members").alias("members"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in whole_keys(batches, 2):
@@ -302,9 +310,24 @@ def similar_links(rows: DataFrame) -> DataFrame:
                     b.append(ids[i + y])
             yield pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], ["a", "b"])
 
-    meeting = placed.join(members, "id").select("grp", "block", "id", "members").repartition(parts, "grp", "block").sortWithinPartitions("grp", "block")
-    links = materialize(meeting.mapInArrow(compare, "a long, b long"), "links")
-    release(groups, cells, sketches)
+    def links_of(cells: DataFrame) -> DataFrame:
+        groups = groups_of(cells)
+        blocks = groups.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("c"))
+        own = F.pmod(F.xxhash64("id"), F.col("c"))
+        placed = groups.join(blocks, "grp").select("grp", "id", "c", own.alias("own")).select("grp", "id", "c", "own", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("other"))
+        # blocks i <= j of a group meet in one task; every member goes to all tasks of its block
+        placed = placed.select("grp", (F.least("own", "other") * F.col("c") + F.greatest("own", "other")).cast("long").alias("block"), "id")
+        meeting = placed.join(members_of(groups), "id").select("grp", "block", "id", "members").repartition(parts, "grp", "block").sortWithinPartitions("grp", "block")
+        links = materialize(meeting.mapInArrow(compare, "a long, b long"), "links")
+        release(groups)
+        return links
+
+    near = links_of(own_cells.drop("h"))
+    classes = components(near).select(F.col("node").alias("id"), "root")
+    second = sketches.join(classes, "id", "left").select("id", "sketch", F.coalesce("root", "id").alias("cls"))
+    cells = materialize(second.mapInArrow(enter_and_probe, cell_kinds), "cells")
+    links = materialize(near.unionByName(links_of(cells)), "all-links")
+    release(near, cells, own_cells, sketches)
     return links
 
 
