@@ -313,11 +313,11 @@ def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def repeated_windows(apart: DataFrame, count: int, length: int, chunk: int = 10_000) -> DataFrame:
     """Verdicts (``h``, ``d1``, ``d2``, ``found``) for the pieces of crowded hashes, whose strings are told apart by digests.
 
-    The distinct pieces are dealt to chunks of about ``chunk``.  A chunk's distinct digests go, packed, to buckets by their value; a bucket
+    The distinct pieces are dealt to chunks of at most about ``chunk``.  A chunk's distinct digests go, packed, to buckets by their value; a bucket
     answers every chunk which of its digests are repeated there or elsewhere.  However many pieces have a string in common, a chunk
     names it once."""
     spark = apart.sparkSession
-    chunks = -(-count // chunk)
+    chunks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // chunk))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count * length // 1_000_000))
     one = apart.groupBy("h", "d1", "d2").agg(F.sum("n").alias("n"), F.min("piece").alias("piece"))
     own = materialize(one.select(F.pmod(F.xxhash64("d1", "d2"), F.lit(chunks)).alias("chunk"), F.lit(-1).cast("long").alias("bucket"), "h", "d1", "d2", "n", "piece"), "crowded")
