@@ -2,7 +2,7 @@
 
 Intermediate results that are read more than once are written as Parquet below the folder named by
 ``spark.checkpoint.dir``; they survive lost executors and cut the lineage.  The folder is read from the session, and a
-temporary one is set only where the setting is missing (local tests).
+temporary one is set only where the setting is missing and the master is local; on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables, from the session if it names one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = getattr(checkpoint_root, "own", None)
         if root is None:
             root = checkpoint_root.own = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
@@ -55,6 +57,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def settled(make: Callable[[], DataFrame], tag: str) -> DataFrame:
+    """What ``make`` returns, written; the tables that it has made on its way are deleted."""
+    before = {path for _, path in _TABLES}
+    out = materialize(make(), tag)
+    for spark, path in [x for x in _TABLES if x[1] not in before and x[1] != out.table_path]:
+        _delete(spark, path)
+        _TABLES.remove((spark, path))
+    return out
+
+
 def numbered(df: DataFrame, tag: str, number: str = "rid") -> DataFrame:
     """``df`` as a table of its own with the stored column ``number``, different in every row.
 
@@ -85,8 +97,8 @@ def _release_all() -> None:
     for spark, path in _TABLES:
         try:
             _delete(spark, path)
-        except Exception:  # the JVM may have ended before Python
-            return
+        except Exception:  # the JVM may have ended before Python, the session may be another
+            continue
 
 
 def tokenizer_path(name: str) -> str:
