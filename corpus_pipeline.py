@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm import importance, near_copies, packing, secret_scan, suffix_dedup
-from quillspark.llm.common import materialize, table, tokenizer_path
+from quillspark.llm.common import release, settled, table, tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,5 +47,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        last, docs = docs, settled(lambda s=stage, d=docs: s(spark, d, sf_dir), f"stage-{name}")
+        release(last)
     return STAGES[-1][1](spark, docs, sf_dir)
