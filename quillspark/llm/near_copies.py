@@ -12,9 +12,15 @@ Texts that share a cell by their own values are compared first; what that connec
 class are left out of the second round, that of the probes.  So a large group of copies is not met again in every cell around it.
 
 Probes of cells that nothing has entered are left out before the shuffle; a bitmap of fixed size knows those cells, and its false
-marks cost time, never a result.  A group is never turned into all its pairs (see :func:`links_of_group`), and one of more than
-``BLOCK`` members is cut into blocks, pairs of which go to different tasks.  A cell with a share of over 1 / ``SPLIT`` of all
-entries and probes is not gathered in a task; its members go to the blocks straight from the table.
+marks cost time, never a result.  A group is never turned into all its pairs (see :func:`links_of_group`).
+
+Crowded cells, and groups of more than ``BLOCK`` members, are not compared cell by cell.  In the first round, which need not be complete,
+such a group is cut into blocks that share a few members.  In the second, the members of all of them are one set of rows, each
+there once, in which all similar pairs are found; so cells that hold nothing else are left out.  They go to shelves: similar sets
+share one of their rarest shingles (see :func:`prefix`).  Shelves are first compared in blocks that share a few members, which
+makes one class of most copies.  Then, in shelves that still hold several classes, what is not in the largest class meets that class
+and each other, in pairs of blocks; the largest class is not met with itself.  So a shelf gives at most twice its rows while
+at most ``BLOCK`` of them are outside its largest class; beyond, its rows grow with the square of the number outside.
 
 Defined cases: a null text is an empty text; fewer words than a shingle has give one shingle of all words; all texts
 without words are copies of each other; rows of equal sets are one set.  Shingles and sets are named by 64-bit hashes.  Columns of
@@ -41,8 +47,9 @@ SHINGLE = 5
 SHARE = (4, 5)
 PAIR = 2
 SEGMENTS, WIDTH, FLIPS = 8, 32, 6
-BLOCK = 512
-HOT, SPLIT = 4096, 8192
+BLOCK, SHARED = 512, 16
+COUNTERS, CHUNK = 1 << 18, 4096
+HOT, SPLIT = 128, 8192
 _FACTORS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, SHINGLE + 1)], dtype=np.uint64)
 
 
@@ -100,6 +107,16 @@ def alike(common: np.ndarray, n: np.ndarray, m: int) -> np.ndarray:
     return (SHARE[0] + SHARE[1]) * common >= SHARE[0] * (n + m)
 
 
+def prefix(members: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The rarest shingles of a set, rarest first: two similar sets share one of them.
+
+    Of the members that they share, at least ``SHARE[0] / SHARE[1]`` of either set, the first in the common order has all others
+    behind it in both.  The order is by counter, then value; it decides how many sets meet, not whether similar ones do.
+    """
+    rare = np.lexsort((members, counts[members & (COUNTERS - 1)]))
+    return members[rare[: len(members) + 1 + -SHARE[0] * len(members) // SHARE[1]]]
+
+
 def links_of_group(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links (member, member) that connect all pairs of similar sets; each link reaches a new member."""
     sizes = np.array([len(s) for s in sets])
@@ -195,6 +212,43 @@ def numbered_sets(docs: DataFrame) -> tuple[DataFrame, str, str, str]:
     return materialize(rows.select(F.monotonically_increasing_id().alias(rid), *docs.columns).mapInArrow(run, schema), "numbered"), rid, name, drawn
 
 
+def sized(groups: DataFrame, large: bool) -> DataFrame:
+    """Members of the groups of more than ``BLOCK``, or of the others."""
+    sizes = groups.groupBy("grp").agg(F.count("*").alias("m"))
+    return groups.join(sizes.filter(F.col("m") > BLOCK).select("grp"), "grp", "left_semi" if large else "left_anti")
+
+
+def blocks_alone(groups: DataFrame) -> DataFrame:
+    """Every member in one block of its group, about ``SHARED`` of them in all blocks."""
+    sizes = groups.groupBy("grp").agg(F.count("*").alias("m"), F.ceil(F.count("*") / F.lit(BLOCK)).alias("c"))
+    own, shared = F.pmod(F.xxhash64("id"), F.col("c")), F.pmod(F.xxhash64("id", F.lit(1)), F.col("m")) < SHARED
+    return groups.join(sizes, "grp").select("grp", F.explode(F.when(shared, F.sequence(F.lit(0).cast("long"), F.col("c") - 1)).otherwise(F.array(own))).alias("block"), "id")
+
+
+def blocks_across(groups: DataFrame) -> DataFrame:
+    """Members of different classes of a group in a block in common, those of its largest class only with others."""
+    by_class = groups.groupBy("grp", "cls").agg(F.count("*").alias("n"))
+    count = lambda x: F.ceil(x / F.lit(BLOCK))
+    sizes = by_class.groupBy("grp").agg(F.max_by("cls", F.struct("n", "cls")).alias("top"), F.max("n").alias("t"), F.sum("n").alias("m")).filter("m > t")
+    whole = F.col("m") <= BLOCK
+    sizes = sizes.select("grp", "top", F.when(whole, 0).otherwise(count(F.col("t"))).alias("ct"), F.when(whole, 1).otherwise(count(F.col("m") - F.col("t"))).alias("cr"))
+    h, ct, cr = F.xxhash64("id"), F.col("ct"), F.col("cr")
+    pair = lambda i, j: F.least(i, j) * (ct + cr) + F.greatest(i, j)
+    at_top, at_rest = F.pmod(h, F.greatest(ct, F.lit(1))), ct + F.pmod(h, cr)
+    # blocks below ct are of the largest class; each other block meets those, and with them its own members
+    of_top = F.transform(F.sequence(ct, ct + cr - 1), lambda j: pair(at_top, j))
+    of_rest = F.filter(F.transform(F.sequence(F.lit(0).cast("long"), ct + cr - 1), lambda j: F.when(j != at_rest, pair(at_rest, j))), lambda x: x.isNotNull())
+    block = F.when(ct == 0, F.array(F.lit(0).cast("long"))).when(F.col("cls") == F.col("top"), of_top).otherwise(of_rest)
+    return groups.join(sizes, "grp").select("grp", F.explode(block).alias("block"), "id")
+
+
+def in_mixed(shelves: DataFrame) -> DataFrame:
+    """Rows of shelves of several classes that have members enough left to be similar to a set as small as the shelf holds."""
+    kinds = shelves.groupBy("grp").agg(F.min("n").alias("least"), F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low < high")
+    smallest = F.greatest(F.col("least"), F.ceil(SHARE[0] * F.col("n") / F.lit(SHARE[1])))
+    return shelves.join(kinds, "grp").filter((SHARE[0] + SHARE[1]) * F.col("rest") >= SHARE[0] * (F.col("n") + smallest)).drop("least", "low", "high")
+
+
 def similar_links(rows: DataFrame) -> DataFrame:
     """Links ``a``, ``b`` between the ``id`` of ``rows`` (``id``, ``text``, ``sketch``) that connect all proposed pairs of similar sets."""
     spark = rows.sparkSession
@@ -237,7 +291,7 @@ def similar_links(rows: DataFrame) -> DataFrame:
                 masks = raw[:, SEGMENTS + 1 :].reshape(len(raw), SEGMENTS, FLIPS)
                 yield ids, raw[:, 0], cls, (raw[:, 1 : SEGMENTS + 1, None] ^ (masks @ _SUBSETS.T)) | (np.arange(SEGMENTS, dtype=np.int64) << WIDTH)[None, :, None]
 
-    def mixed(cell: np.ndarray) -> np.ndarray:
+    def mixed_bits(cell: np.ndarray) -> np.ndarray:
         h = cell.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         return (h ^ (h >> np.uint64(29))).view(np.int64)
 
@@ -245,28 +299,41 @@ def similar_links(rows: DataFrame) -> DataFrame:
         for ids, n, cls, cell in read(batches):
             own = cell[:, :, 0]
             each = [np.repeat(x, own.shape[1]) for x in (ids, n, cls)]
-            yield pa.RecordBatch.from_arrays([pa.array(own.ravel()), *map(pa.array, each), pa.array(np.ones(own.size, dtype=bool)), pa.array(mixed(own.ravel()))], ["cell", "id", "n", "cls", "entry", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(own.ravel()), *map(pa.array, each), pa.array(np.ones(own.size, dtype=bool)), pa.array(mixed_bits(own.ravel()))], ["cell", "id", "n", "cls", "entry", "h"])
 
     cell_kinds = "cell long, id long, n long, cls long, entry boolean"
     first = sketches.select("id", "sketch", F.col("id").alias("cls"))
     own_cells = materialize(first.mapInArrow(entries, f"{cell_kinds}, h long"), "entries")
     entered = spark.sparkContext.broadcast(_bitmap(own_cells.select("h")))
 
-    def enter_and_probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, n, cls, cell in read(batches):
-            wanted = _marked(entered.value, mixed(cell.ravel())).reshape(cell.shape)
-            wanted[:, :, 0] = True
-            row, _, ball = np.nonzero(wanted)
-            yield pa.RecordBatch.from_arrays([pa.array(cell[wanted]), pa.array(ids[row]), pa.array(n[row]), pa.array(cls[row]), pa.array(ball == 0)], ["cell", "id", "n", "cls", "entry"])
+    def rows_of_cells(rows_: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+        """Entries and probes, of cells that are not ``hot``; ``large``: the text is in a hot cell of several classes."""
+        left_out, mixed = cells_in(hot), cells_in(hot, True)
+
+        def enter_and_probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for ids, n, cls, cell in read(batches):
+                wanted = _marked(entered.value, mixed_bits(cell.ravel())).reshape(cell.shape)
+                wanted[:, :, 0] = True
+                if len(left_out.value):
+                    wanted &= ~np.isin(cell, left_out.value)
+                large = np.isin(cell, mixed.value).any(axis=(1, 2)) if len(mixed.value) else np.zeros(len(ids), dtype=bool)
+                row, _, ball = np.nonzero(wanted)
+                yield pa.RecordBatch.from_arrays([pa.array(cell[wanted]), *(pa.array(x[row]) for x in (ids, n, cls)), pa.array(ball == 0), pa.array(large[row])], ["cell", "id", "n", "cls", "entry", "large"])
+
+        return rows_.mapInArrow(enter_and_probe, f"{cell_kinds}, large boolean")
+
+    def cells_in(hot: DataFrame | None, only_mixed: bool = False):
+        return spark.sparkContext.broadcast(np.array([r.cell for r in hot.collect() if r.mixed or not only_mixed] if hot else [], dtype=np.int64))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def groups() -> Iterator[list[np.ndarray]]:
             done: set[bytes] = set()
             for part in whole_keys(batches, 1):
-                ids, sizes, cls, entry = part.column(1).to_numpy(), part.column(2).to_numpy(), part.column(3).to_numpy(), part.column(4).to_numpy(zero_copy_only=False)
+                ids, sizes, cls = (part.column(k).to_numpy() for k in (1, 2, 3))
+                entry, large = (part.column(k).to_numpy(zero_copy_only=False) for k in (4, 5))
                 for a, b in bounds(part, 1):
-                    if not entry[a:b].any() or (cls[a:b] == cls[a]).all():
-                        continue  # a false mark, or a single class
+                    if not entry[a:b].any() or (cls[a:b] == cls[a]).all() or large[a:b].all():
+                        continue  # a false mark, a single class, or compared elsewhere
                     for run in runs_of_cell(ids[a:b], sizes[a:b]):
                         run = np.sort(run)
                         name = xxhash.xxh3_128_digest(run.tobytes())
@@ -278,14 +345,27 @@ def similar_links(rows: DataFrame) -> DataFrame:
 
         yield from longs(groups(), ["grp", "id"])
 
+    def crowded(cells: DataFrame) -> DataFrame:
+        """The largest entered cells of more than HOT members, at most SPLIT, and whether they are of several classes."""
+        counted = cells.groupBy("cell").agg(F.count("*").alias("m"), F.max("entry").alias("entry"), F.min("cls").alias("low"), F.max("cls").alias("high"))
+        many = counted.filter((F.col("m") > HOT) & F.col("entry")).orderBy(F.desc("m"), "cell").limit(SPLIT)
+        return materialize(many.select("cell", (F.col("low") < F.col("high")).alias("mixed")), "hot")
+
     def groups_of(cells: DataFrame) -> DataFrame:
         """``grp``, ``id``: members that meet in some cell of several classes."""
-        counted = cells.groupBy("cell").agg(F.count("*").alias("m"), F.max("entry").alias("entry"), F.min("cls").alias("low"), F.max("cls").alias("high"))
-        most = max(HOT, cells.count() // SPLIT)
-        hot = F.broadcast(materialize(counted.filter((F.col("m") > most) & F.col("entry")).select("cell", (F.col("low") < F.col("high")).alias("mixed")), "hot"))  # at most SPLIT cells
-        cold = cells.join(hot.select("cell"), "cell", "left_anti").select("cell", "id", "n", "cls", "entry").repartition(parts, "cell").sortWithinPartitions("cell")
-        warm = cells.join(hot.filter("mixed"), "cell").select(F.col("cell").alias("grp"), "id")
-        return materialize(cold.mapInArrow(meet, "grp long, id long").unionByName(warm).distinct(), "groups")
+        dealt = cells.select("cell", "id", "n", "cls", "entry", "large").repartition(parts, "cell").sortWithinPartitions("cell")
+        return dealt.mapInArrow(meet, "grp long, id long").distinct()
+
+    def members_of_cells(hot: DataFrame) -> DataFrame:
+        """``id`` and ``cls`` of the texts in mixed crowded cells, read from the sketches, each once."""
+        wanted = cells_in(hot, True)
+
+        def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for ids, _, cls, cell in read(batches):
+                there = np.isin(cell, wanted.value).any(axis=(1, 2))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[there]), pa.array(cls[there])], ["id", "cls"])
+
+        return second.mapInArrow(some, "id long, cls long")
 
     set_schema = arrow_schema("id long, members binary")
 
@@ -310,24 +390,79 @@ def similar_links(rows: DataFrame) -> DataFrame:
                     b.append(ids[i + y])
             yield pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], ["a", "b"])
 
-    def links_of(cells: DataFrame) -> DataFrame:
-        groups = groups_of(cells)
-        blocks = groups.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("c"))
-        own = F.pmod(F.xxhash64("id"), F.col("c"))
-        placed = groups.join(blocks, "grp").select("grp", "id", "c", own.alias("own")).select("grp", "id", "c", "own", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("other"))
-        # blocks i <= j of a group meet in one task; every member goes to all tasks of its block
-        placed = placed.select("grp", (F.least("own", "other") * F.col("c") + F.greatest("own", "other")).cast("long").alias("block"), "id")
-        meeting = placed.join(members_of(groups), "id").select("grp", "block", "id", "members").repartition(parts, "grp", "block").sortWithinPartitions("grp", "block")
-        links = materialize(meeting.mapInArrow(compare, "a long, b long"), "links")
-        release(groups)
+    def links_in(placed: DataFrame, sets: DataFrame) -> DataFrame:
+        meeting = placed.join(sets, "id").select("grp", "block", "id", "members").repartition(parts, "grp", "block").sortWithinPartitions("grp", "block")
+        return materialize(meeting.mapInArrow(compare, "a long, b long"), "links")
+
+    def counters(sets: DataFrame) -> np.ndarray:
+        """How many shingles of the sets fall to each of a fixed number of counters."""
+        kinds = "chunk int, n binary"
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(COUNTERS, dtype="<i8")
+            for batch in batches:
+                members = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.int64)
+                total += np.bincount(members & (COUNTERS - 1), minlength=COUNTERS)
+            chunks = total.reshape(-1, CHUNK)
+            some = np.flatnonzero(chunks.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([chunks[k].tobytes() for k in some], type=pa.binary())], ["chunk", "n"])
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    total[k] = total.get(k, 0) + np.frombuffer(n, dtype="<i8")
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), type=pa.int32()), pa.array([n.tobytes() for n in total.values()], type=pa.binary())], ["chunk", "n"])
+
+        out = np.zeros((COUNTERS // CHUNK, CHUNK), dtype=np.int64)
+        for r in sets.select("members").mapInArrow(count, kinds).repartition(min(parts, COUNTERS // CHUNK), "chunk").mapInArrow(add, kinds).toLocalIterator():
+            out[r.chunk] = np.frombuffer(r.n, dtype="<i8")
+        return out.ravel()
+
+    def shelves_of(sets: DataFrame) -> DataFrame:
+        """``grp``, ``id``, ``cls``, ``n``, ``rest``: a shingle of the prefix, size of the set, and its members from that shingle on."""
+        counts = spark.sparkContext.broadcast(counters(sets))
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def rows_of() -> Iterator[list[np.ndarray]]:
+                for batch in batches:
+                    for i, cls, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                        members = np.frombuffer(raw, dtype=np.int64)
+                        first = prefix(members, counts.value)
+                        yield [first, *(np.full(len(first), x) for x in (i, cls, len(members))), len(members) - np.arange(len(first))]
+
+            yield from longs(rows_of(), ["grp", "id", "cls", "n", "rest"])
+
+        return sets.select("id", "cls", "members").mapInArrow(place, "grp long, id long, cls long, n long, rest long")
+
+    def links_of_large(large: DataFrame, known: DataFrame) -> DataFrame:
+        """Links that connect what the ``known`` ones do, and all similar sets of ``large`` (``id``, ``cls``)."""
+        sets = materialize(members_of(large).join(large, "id"), "sets")
+        shelves = materialize(in_mixed(shelves_of(sets)), "shelves")
+        loose = links_in(blocks_alone(shelves), sets)
+        stars = materialize(components(known.unionByName(loose)).filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")), "stars")
+        rest = shelves.join(stars.select(F.col("a").alias("id"), "b"), "id", "left").select("grp", "id", F.coalesce("b", "id").alias("cls"))
+        links = stars.unionByName(links_in(blocks_across(rest), sets))
+        release(sets, shelves, loose)
         return links
 
-    near = links_of(own_cells.drop("h"))
+    hot = crowded(own_cells)
+    cold = own_cells.join(F.broadcast(hot.select("cell")), "cell", "left_anti").withColumn("large", F.lit(False))
+    warm = own_cells.join(F.broadcast(hot.filter("mixed")), "cell").select(F.col("cell").alias("grp"), "id")
+    groups = materialize(groups_of(cold).unionByName(warm), "groups")
+    near = links_in(blocks_alone(groups), members_of(groups))
+    release(groups)
     classes = components(near).select(F.col("node").alias("id"), "root")
-    second = sketches.join(classes, "id", "left").select("id", "sketch", F.coalesce("root", "id").alias("cls"))
-    cells = materialize(second.mapInArrow(enter_and_probe, cell_kinds), "cells")
-    links = materialize(near.unionByName(links_of(cells)), "all-links")
-    release(near, cells, own_cells, sketches)
+    second = materialize(sketches.join(classes, "id", "left").select("id", "sketch", F.coalesce("root", "id").alias("cls")), "second")
+    hot = crowded(rows_of_cells(second))
+    groups = materialize(groups_of(rows_of_cells(second, hot)), "groups")
+    small = sized(groups, False)
+    links = near.unionByName(links_in(small.withColumn("block", F.lit(0)), members_of(small)))
+    large = materialize(members_of_cells(hot).unionByName(sized(groups, True).select("id").distinct().join(second, "id").select("id", "cls")).distinct(), "large")
+    if not large.isEmpty():
+        links = links_of_large(large, links)
+    links = materialize(links, "all-links")
+    release(near, own_cells, sketches, second, groups, large)
     return links
 
 

@@ -533,6 +533,63 @@ def test_near_copies_against_brute_force(spark, monkeypatch):
     assert near_copies.keep_one(df.limit(0)).count() == 0
 
 
+def rows_of_nodes(spark, kind, since):
+    """Output rows of the plan nodes of a kind in executions from ``since`` on, and the number of executions."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    rows, done = 0, store.executionsCount()
+    for e in range(since, done):
+        metrics, nodes = store.executionMetrics(e), store.planGraph(e).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            own = node.metrics()
+            for m in (own.apply(k) for k in range(own.size())):
+                if node.name().startswith(kind) and m.name() == "number of output rows" and metrics.contains(m.accumulatorId()):
+                    rows += int(metrics.apply(m.accumulatorId()).replace(",", ""))
+    return rows, done
+
+
+def test_large_groups_of_near_copies_grow_in_proportion(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "BLOCK", 32)
+    monkeypatch.setattr(near_copies, "SHARED", 4, raising=False)
+    made = []
+    for size in (150, 600):
+        rng = random.Random(21)
+        base = [f"{rng.choice(WORDS)}{rng.randrange(40)}" for _ in range(150)]
+        texts = [" ".join(edited(base, rng.choice((0.74, 0.77, 0.79, 0.85, 0.9, 0.95)), rng)) for _ in range(size)]
+        sets = [near_copies.shingle_set(t) for t in texts]
+        root = list(range(size))
+        for a, b in near_copies.links_of_group(sets):
+            root = [root[a] if r == root[b] else r for r in root]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+        _, since = rows_of_nodes(spark, "Generate", spark._jsparkSession.sharedState().statusStore().executionsCount())
+        assert {r.doc_id for r in near_copies.keep_one(df).collect()} == {root.index(r) for r in set(root)}
+        made.append(rows_of_nodes(spark, "Generate", since)[0])
+    assert 0 < made[0] and made[1] < 8 * made[0], made
+
+
+def test_shelves_and_blocks_bring_similar_sets_together(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    counts = rng.integers(0, 3, near_copies.COUNTERS)
+    for _ in range(500):
+        n, pool = int(rng.integers(1, 60)), np.unique(rng.integers(-(2**62), 2**62, 400))
+        a = np.sort(rng.choice(pool, n, replace=False))
+        b = np.union1d(rng.choice(a, rng.integers(-(-4 * n // 5), n + 1), replace=False), rng.choice(pool, rng.integers(0, n // 5 + 1)))
+        if 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b)):
+            assert set(near_copies.prefix(a, counts).tolist()) & set(near_copies.prefix(b, counts).tolist())
+    monkeypatch.setattr(near_copies, "BLOCK", 8)
+    for top, others in ((5, 2), (90, 5), (90, 40), (300, 8), (1, 30)):
+        cls = [0] * top + [1 + k // 2 for k in range(others)]
+        groups = spark.createDataFrame([(g, i, c) for g in (7, 8) for i, c in enumerate(cls)] + [(9, i, 0) for i in range(20)], "grp long, id long, cls long")
+        met = collections.defaultdict(set)
+        rows = near_copies.blocks_across(groups).collect()
+        for r in rows:
+            met[r.id, r.grp].add(r.block)
+        assert not any(g == 9 for _, g in met)
+        for g in (7, 8):
+            assert all(met[a, g] & met[b, g] for a in range(top + others) for b in range(a) if cls[a] != cls[b])
+        if others <= 8 < top:  # at most a block outside the largest class
+            assert len(rows) <= 2 * 2 * (top + others)
+
+
 def test_rows_are_named_alike_when_splits_change(spark, tmp_path):
     shared = " ".join(f"s{k}" for k in range(90))
     rows = [(i, f"{i} {shared}" if i % 5 == 0 else f"{i} own password: {'k%011d' % i} " + " ".join(f"{i}w{k}" for k in range(i % 7)), "a/b") for i in range(60)]
