@@ -4,10 +4,13 @@ Model: pieces of an existing subword vocabulary are drawn independently until an
 is the sum over all its segmentations, computed word by word by a forward recursion in log space, as no piece crosses a
 word's begin.  The scores of the vocabulary file weigh the pieces; they are merge ranks, the only scores there are, and a rank
 r stands for the weight 1 / (r + 10), as frequencies fall with the rank.  The share of end tokens is learned from the training
-rows.  Characters that are no piece are spelled in byte pieces.  ``score`` is this marginal and nothing else.
+rows.  Characters that are no piece are spelled in byte pieces.  The operator's ``score`` is this marginal and nothing else; with
+``learn`` the weights are first estimated anew: a piece weighs what the segmentations of all distinct training words expect of it
+under the file's weights (one round of expectation and maximization), plus a single token dealt out by the file's weights.
 
 Beside it stands ``mixed_score``, where every training word is one more arc over its whole length, weighted by how often it
-occurs, and the pieces share what Good-Turing leaves for words that training has not seen.
+occurs, and the pieces share what Good-Turing leaves for words that training has not seen.  The query's ``score`` is this one, with
+learned weights, and ``piece_score`` the marginal without the words' arcs.
 
 Data flow: a task reads its split in chunks.  A chunk has its own list of distinct words, and a document is kept as numbers
 of that list with counts.  Only the lists are joined with the corpus-wide counts; what they find goes back to the chunk,
@@ -40,8 +43,10 @@ VOCABULARY = "piece_bpe_32k.model"
 FOLDS, HELD_OUT = 7, 2
 CHUNK_WORDS = 500_000
 CHUNK_DOCS = 200_000
+WORDS_AT_ONCE = 2_000
 LOG10 = math.log(10)
 MARK = "\u2581"
+UNIT = 1 << 24  # expected counts are whole numbers of these parts, so that their sums do not depend on an order
 NO_CHARACTER = "\ufdd0"  # stands for a literal MARK within a word, so that it is spelled in bytes
 LISTS = "chunk long, doc_id long, held_out boolean, n_words long, numbers binary, idx int, word string, train long"
 
@@ -85,6 +90,67 @@ class Lattice:
     def _spelling(self, c: str) -> tuple[int, ...]:
         return tuple(self.byte[b] for b in c.encode("utf-8", "surrogatepass"))
 
+    def fitted(self, counts: np.ndarray) -> Lattice:
+        """The same with pieces weighed by their expected counts, and one more token dealt out by the weights of now."""
+        out = copy.copy(self)
+        with np.errstate(divide="ignore"):
+            out.own = np.log((counts / UNIT + np.exp(self.own)) / (counts.sum() / UNIT + 1))
+        out.end, out.log = 0.0, out.own.tolist()
+        return out
+
+    def expected(self, words: list[str]) -> np.ndarray:
+        """How often each piece is expected in the segmentations of the words, in parts of ``UNIT``: forward and backward over all words
+        at once, by place within the word."""
+        root, n = self.trie, len(self.log)
+        spelled: dict[str, int] = {}  # characters that are no piece, numbered after the pieces
+        arcs, lens, at0 = [], [], 0  # an arc: node it begins at, length, piece
+        for word in words:
+            s = MARK + (word.replace(MARK, NO_CHARACTER) if MARK in word else word)
+            m = len(s)
+            for i in range(m):
+                at, begin, j = root.get(s[i]), at0 + i << 36, i + 1
+                if at is None or at[0] < 0:
+                    arcs.append(begin | 1 << 20 | spelled.setdefault(s[i], n + len(spelled)))
+                while at is not None:
+                    p, below = at
+                    if p >= 0:
+                        arcs.append(begin | j - i << 20 | p)
+                    if j == m:
+                        break
+                    at = below.get(s[j])
+                    j += 1
+            lens.append(m + 1)
+            at0 += m + 1
+        out = np.zeros(n, dtype=np.int64)
+        if not arcs:
+            return out
+        last = np.cumsum(lens) - 1
+        first = last + 1 - lens
+        coded = np.array(arcs, dtype=np.int64)
+        begin = coded >> 36
+        place = begin - np.repeat(first, lens)[begin]
+        order = np.argsort(place, kind="stable")
+        coded, begin, place = coded[order], begin[order], place[order]
+        end, piece = begin + (coded >> 20 & 0xFFFF), coded & 0xFFFFF
+        weight = np.array(self.log + [sum(self.log[b] for b in self._spelling(c)) for c in spelled])[piece]
+        cut = np.searchsorted(place, np.arange(place[-1] + 2))
+        steps = [slice(i, j) for i, j in zip(cut, cut[1:], strict=False)]
+        into, out_of = np.full((2, at0), -np.inf)
+        into[first] = 0.0
+        for k in steps:
+            np.logaddexp.at(into, end[k], into[begin[k]] + weight[k])
+        out_of[last] = -into[last]
+        for k in reversed(steps):
+            np.logaddexp.at(out_of, begin[k], out_of[end[k]] + weight[k])
+        parts = np.rint(np.exp(into[begin] + weight + out_of[end]) * UNIT).astype(np.int64)
+        every = np.zeros(n + len(spelled), dtype=np.int64)
+        np.add.at(every, piece, parts)
+        out += every[:n]
+        for c, k in spelled.items():
+            for b in self._spelling(c):
+                out[b] += every[k]
+        return out
+
     def log_probability(self, word: str) -> float:
         """Natural log of the sum over all segmentations, by a forward recursion in log space."""
         s = MARK + (word.replace(MARK, NO_CHARACTER) if MARK in word else word)
@@ -188,8 +254,27 @@ def word_lists(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, LISTS)
 
 
-def score(docs: DataFrame, path: str) -> DataFrame:
-    """Columns of the contract for every document."""
+def expected_counts(words: DataFrame, path: str, ends: float) -> np.ndarray:
+    """Expected counts of all pieces in the column ``word``, each row once; as many numbers come to the driver as there are pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = read_lattice(path).ending(ends)
+        total = np.zeros(len(lattice.log), dtype=np.int64)
+        for batch in batches:
+            given = batch.column(0).to_pylist()
+            for at in range(0, len(given), WORDS_AT_ONCE):
+                total += lattice.expected(given[at : at + WORDS_AT_ONCE])
+        met = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(met, type=pa.int32()), pa.array(total[met], type=pa.int64())], ["piece", "n"])
+
+    out = np.zeros(len(read_lattice(path).log), dtype=np.float64)
+    for r in words.select("word").mapInArrow(run, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect():
+        out[r.piece] = r.n
+    return out
+
+
+def score(docs: DataFrame, path: str, learn: bool = False) -> DataFrame:
+    """Columns of the contract for every document; ``learn``: under piece weights learned from the training words, not the file's."""
     spark = docs.sparkSession
     lists = materialize(word_lists(docs), "lists")
     words = lists.filter(F.col("word").isNotNull()).select("chunk", "idx", "word", "train")
@@ -201,9 +286,11 @@ def score(docs: DataFrame, path: str) -> DataFrame:
     distinct = n_distinct + (n_docs > 0)
     share = unseen_share(n_once + (n_docs == 1), n_train)
     ends = (n_docs + 1) / (n_train + 2)
+    counts = expected_counts(known.filter("c > 0"), path, ends) if learn else None
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = read_lattice(path).ending(ends)
+        lattice = read_lattice(path)
+        lattice = (lattice if counts is None else lattice.fitted(counts)).ending(ends)
         for batch in batches:
             lp = [lattice.log_probability(w) for w in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lp, type=pa.float64())], ["word", "c", "lp"])
@@ -278,4 +365,6 @@ def score(docs: DataFrame, path: str) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents"), tokenizer_path(VOCABULARY))
+    out = score(table(spark, sf_dir, "documents"), tokenizer_path(VOCABULARY), learn=True)
+    same = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score")
+    return out.select(*same, F.col("mixed_score").alias("score"), F.col("score").alias("piece_score"))

@@ -1,6 +1,7 @@
 """The training-data operators against plain Python on small inputs with nulls, empty and long texts, ties and repeats."""
 
 import collections
+import copy
 import hashlib
 import math
 import random
@@ -305,6 +306,34 @@ def test_lattice_sums_all_segmentations():
     assert math.isclose(sum(math.exp(ended.log[i]) for i in pieces) + math.exp(ended.end), 1, rel_tol=1e-9)
 
 
+def test_learned_piece_weights(spark, docs):
+    rows, df = docs
+    path = tokenizer_path(lattice_lm.VOCABULARY)
+    file, sums = lattice_lm.Lattice(path), lambda x: sum(math.exp(x.own[i]) for i in [*x.index.values(), *x.byte])
+    for word in ("heard", "a\u2581b", "\U000e0001x", "", "word" * 300):  # the expected count of a piece is how the word's log probability moves with its weight
+        got, pieces = file.expected([word, word]) / lattice_lm.UNIT / 2, []
+        for i in np.flatnonzero(got)[:6]:
+            moved = [copy.copy(file) for _ in range(2)]
+            for m, step in zip(moved, (1e-5, -1e-5), strict=True):
+                m.log = [x + step * (k == i) for k, x in enumerate(file.log)]
+            pieces.append((got[i], (moved[0].log_probability(word) - moved[1].log_probability(word)) / 2e-5))
+        assert pieces and all(abs(a - b) < 1e-3 * max(1, abs(b)) for a, b in pieces)
+    words = sorted({x for r in rows for x in simhash.words_of(r[1])})
+    counts = file.expected(words)
+    assert (counts == file.expected(words[:7]) + file.expected(words[7:])).all() and not file.expected([]).any()
+    learned = file.fitted(counts)
+    assert math.isclose(sums(learned), 1, rel_tol=1e-9) and np.allclose(file.fitted(np.zeros(len(file.log))).own, file.own)
+    assert sum(map(learned.log_probability, words)) > sum(map(file.log_probability, words))
+    assert (lattice_lm.expected_counts(spark.createDataFrame([(w,) for w in words], "word string"), path, 0.5) == file.ending(0.5).expected(words)).all()
+
+
+def test_language_model_near_its_base(spark):
+    out = lattice_lm.query(spark, "/root/testdata/sf0.01").filter("held_out").collect()
+    assert out and all(math.isfinite(r.score) and math.isfinite(r.piece_score) and r.score < 0 for r in out)
+    n = sum(r.n_tokens for r in out)  # -8.6 a token by the file's weights alone
+    assert sum(r.score for r in out) / n > sum(r.base_score for r in out) / n - 1
+
+
 def test_simhash(spark, docs, empty):
     rows, df = docs
     prints = simhash.fingerprints(df, 3)
