@@ -1,4 +1,4 @@
-"""Joins with lookup tables."""
+"""Joins with lookup tables, and rows dealt to tasks."""
 
 from __future__ import annotations
 
@@ -11,3 +11,10 @@ MOST = 100_000
 def small(table: DataFrame, most: int = MOST) -> DataFrame:
     """``table`` marked to be broadcast if it is found to have at most ``most`` rows; else as it is, so that it is shuffled."""
     return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` in as many partitions as the cores need, whatever the files or shuffles before had: a small file of many rows is one
+    split, and small shuffled partitions are put together, so that a costly step would run on a few cores only."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism))

@@ -211,3 +211,41 @@ def test_preference_files():
     done, warned = Options().with_file("convertTextColor false\nconvertTableBorders true\npreambleDocClass '\\documentclass{book}'\npageWidth 7\nconvertPict no\nfoo 1\n")
     assert (done.text, done.table, done.document_class, done.page_width, done.pictures, warned) == (5, 7, "book", 7.0, False, ["foo"])
     assert Options().preset("best").paragraph == 63
+
+
+def test_machine_work_per_row():
+    """Calls that a table row and its LaTeX take: time at size is theirs (207 and 103 before)."""
+    import sys
+
+    from quillspark.plans.render import Writer
+
+    def calls(n, make, use):
+        data, seen = make(n), [0]
+        sys.setprofile(lambda frame, event, what: seen.__setitem__(0, seen[0] + event.endswith("call")))
+        try:
+            use(data)
+        finally:
+            sys.setprofile(None)
+        return seen[0]
+
+    each = lambda make, use: (calls(60, make, use) - calls(20, make, use)) / 40
+    rows = lambda n: b"{\\rtf1 a\\par " + b"\\trowd\\cellx1000\\cellx2000\\cellx3000\\pard\\intbl 17\\cell{\\b A}\\cell O\\cell \\row" * n + b"\\pard b}"
+    assert each(rows, lambda d: state.Machine(d).run().tables()) < 190
+    assert each(lambda n: state.Machine(rows(n)).run(), lambda m: Writer(m, Options(fragment=True, table=1)).document()) < 90
+
+
+def test_parsed_rows_are_handed_on_in_slices(spark, monkeypatch):
+    from quillspark.operators import state as st_
+
+    seen = []
+    docs = spark.createDataFrame([(i, "{\\rtf1" + "{\\pict 41}" * 30 + "}") for i in range(50)], "doc_id long, rtf string")
+    assert state.pictures(docs.coalesce(1)).rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism  # 1 before
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, kinds: seen.append(run))
+    monkeypatch.setattr(st_, "ROWS_AT_ONCE", 100)
+    st_.pictures(docs)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pylist([r.asDict() for r in docs.collect()])
+    made = list(seen[0](iter([batch])))
+    assert max(b.num_rows for b in made) < 130 and sum(b.num_rows for b in made) == 1500
+    assert [x for b in made for x in b.column(0).to_pylist()] == [i for i in range(50) for _ in range(30)]
