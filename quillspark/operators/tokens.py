@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import from_byte, from_code
-from ..joins import small
+from ..joins import keyed, small
 
 PATTERN = r"\\[a-zA-Z]+-?[0-9]* ?|\\'[0-9a-fA-F]{2}|\\[^a-zA-Z]|[{}]|[^\\{}]+|\\"
 GROUP, TEXT, CONTROL = 1, 2, 3
@@ -64,7 +64,7 @@ def balance(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def groups(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
     """``key``, ``open_pos``, ``close_pos`` (null if never closed), ``level``, ``destination`` (first word), ``optional``."""
-    d = with_depth(tokens, key)
+    d = with_depth(keyed(tokens, key), key)
     order = Window.partitionBy(key).orderBy("pos")
     nxt = d.withColumns({"w1": F.lead("word").over(order), "w2": F.lead("word", 2).over(order)})
     braces = nxt.filter(F.col("cls") == GROUP).withColumn("level", F.when(F.col("tok") == "{", F.col("depth")).otherwise(F.col("depth") + 1))
@@ -76,13 +76,12 @@ def groups(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def skip_groups(tokens: DataFrame, ranges: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Tokens outside of the given groups: a count of open skipped groups runs along the tokens, so nothing is joined by range."""
+    """Tokens outside of the given groups: a count of open skipped groups runs along the tokens, so nothing is joined."""
     opens = ranges.select(key, F.col("open_pos").alias("pos"), F.lit(1).alias("step"))
     closes = ranges.filter(F.col("close_pos").isNotNull()).select(key, (F.col("close_pos") + 1).alias("pos"), F.lit(-1).alias("step"))
-    steps = opens.unionByName(closes).groupBy(key, "pos").agg(F.sum("step").alias("step"))
-    marked = tokens.join(steps, [key, "pos"], "left")
-    inside = F.sum(F.coalesce("step", F.lit(0))).over(Window.partitionBy(key).orderBy("pos"))
-    return marked.withColumn("inside", inside).filter("inside = 0").drop("inside", "step")
+    marked = keyed(tokens.unionByName(opens.unionByName(closes), allowMissingColumns=True), key)  # a step stands before the token of its place
+    inside = F.sum(F.coalesce("step", F.lit(0))).over(Window.partitionBy(key).orderBy("pos", F.col("step").isNull()))
+    return marked.withColumn("inside", inside).filter("inside = 0 and step is null").drop("inside", "step")
 
 
 def within_groups(tokens: DataFrame, ranges: DataFrame, key: str = "doc_id") -> DataFrame:

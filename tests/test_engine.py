@@ -249,3 +249,13 @@ def test_parsed_rows_are_handed_on_in_slices(spark, monkeypatch):
     made = list(seen[0](iter([batch])))
     assert max(b.num_rows for b in made) < 130 and sum(b.num_rows for b in made) == 1500
     assert [x for b in made for x in b.column(0).to_pylist()] == [i for i in range(50) for _ in range(30)]
+
+
+def test_groups_and_skips_are_dealt_by_document_alone(spark):
+    docs = spark.createDataFrame([(1, "{\\rtf1{\\*\\x a{b}}c{\\*\\y d}{\\*\\z e}f}"), (2, "{\\rtf1 g{\\*\\x h"), (3, "")], "doc_id long, rtf string")
+    t = tokens.tokenize(docs)
+    optional = tokens.groups(t).filter("optional")
+    assert optional.rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism  # put together to one by its small size before
+    kept = tokens.skip_groups(t, optional)
+    assert kept.columns == t.columns and {r.doc_id: r.text for r in tokens.plain_text(kept).collect()} == {1: "cf", 2: "g"}
+    assert "Join" not in kept._jdf.queryExecution().optimizedPlan().toString()  # a join held both sides sorted in one task
